@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import near_dup
+from . import bpe, decontam, langid, near_dup
 
 QUERIES = {
+    "op4_bpe": bpe.op4_bpe,
+    "op8_decontaminate": decontam.op8_decontaminate,
+    "op9_langid": langid.op9_langid,
     "op10_near_dup": near_dup.op10_near_dup,
 }
 
