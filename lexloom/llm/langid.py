@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .common import column, need, sub_batches
 
-DIMENSION, GRAM, PER_LANGUAGE, MIN_COSINE, HALF = 1024, 3, 1000, 0.35, 200
+DIMENSION, GRAM, PER_LANGUAGE, MIN_COSINE, HALF = 1024, 3, 1000, 0.25, 200
 SUB = 1 << 20
 
 
