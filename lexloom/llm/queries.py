@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, near_dup
+from . import bpe, decontam, langid, lattice, near_dup
 
 QUERIES = {
+    "op1_lm_score": lattice.op1_lm_score,
     "op4_bpe": bpe.op4_bpe,
     "op8_decontaminate": decontam.op8_decontaminate,
     "op9_langid": langid.op9_langid,
