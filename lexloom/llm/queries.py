@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, langid, lattice, near_dup, quality_rules
+from . import bpe, chat, cotrain, decontam, langid, lattice, near_dup, quality_rules
 
 QUERIES = {
     "op1_lm_score": lattice.op1_lm_score,
     "op3_chat_format": chat.op3_chat_format,
     "op4_bpe": bpe.op4_bpe,
+    "op6_quality": cotrain.op6_quality,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_decontaminate": decontam.op8_decontaminate,
     "op9_langid": langid.op9_langid,
