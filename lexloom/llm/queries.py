@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, cotrain, decontam, langid, lattice, near_dup, quality_rules
+from . import bpe, chat, cotrain, decontam, langid, lattice, licenses, near_dup, quality_rules
 
 QUERIES = {
     "op1_lm_score": lattice.op1_lm_score,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_chat_format": chat.op3_chat_format,
     "op4_bpe": bpe.op4_bpe,
     "op6_quality": cotrain.op6_quality,
