@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -231,11 +230,6 @@ ORDINARY = [
 ]
 
 
-@lru_cache(4)
-def _trained(prose: tuple[str, ...]) -> Classifier:
-    return trained(list(prose))
-
-
 def ordinary_lines(docs: DataFrame, lines: int = LINES) -> list[str]:
     """A bounded sample of lines, one of each chosen document, by a hash of the text."""
     rows = need(docs, "text").filter("text is not null")
@@ -266,4 +260,4 @@ def found(docs: DataFrame, model: Classifier) -> DataFrame:
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return found(docs, _trained(tuple(ordinary_lines(docs))))
+    return found(docs, trained(ordinary_lines(docs)))
