@@ -1,40 +1,8 @@
-"""Queries of the library over the driver's tables, and the same in DuckDB SQL."""
+"""All queries of the library but those of its separate subpackage for training text."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import clean, segment  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the DuckDB SQL that gives the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    r"""
-    WITH s AS (SELECT lang, unnest(string_split(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '([.!?:;])', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents)
-    SELECT lang, count(*) AS sentences, sum(length(s)) AS chars
-    FROM (SELECT lang, regexp_replace(s, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS s FROM s)
-    WHERE length(s) >= 3 GROUP BY lang
-    """
-)
-def lang_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.regexp_replace(F.regexp_replace("text", r"[ \t]+", " "), r"([.!?:;])", "$1\u0001")
-    s = table(spark, sf_dir, "documents").select("lang", F.explode(F.split(text, "\u0001")).alias("s"))
-    s = s.withColumn("s", F.regexp_replace("s", r"^[ \t\r\n]+|[ \t\r\n]+$", "")).filter("length(s) >= 3")
-    return s.groupBy("lang").agg(F.count("*").alias("sentences"), F.sum(F.length("s")).alias("chars"))
+__all__ = ["ORACLE_SQL", "QUERIES"]
