@@ -3,7 +3,7 @@
 Text is cut into pre-tokens by the vocabulary's pattern. A pre-token that is a vocabulary entry as a
 whole is resolved by a minimal perfect hash (first tier, for all distinct pre-tokens of a sub-batch at once).
 Any other is merged by a heap over linked bytes (second tier), least rank first, leftmost of equal
-ranks; results are kept in a bounded memo. Ids are the ranks of the vocabulary file.
+ranks; results are kept in a bounded memo of two generations. Ids are the ranks of the vocabulary file.
 
 The vocabulary is a file of base64 tokens and ranks whose path is a parameter; nothing is trained.
 Its tables are of fixed size and sent to the tasks once. No shuffle: a document is encoded where it is read.
@@ -31,7 +31,8 @@ from ..session import ship
 from .common import M1, column, mix, need, ragged_take, sub_batches
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 200_000
+#: Pre-tokens in each of the memo's two generations; a full young one becomes the old one.
+MEMO = 250_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -103,9 +104,10 @@ class Vocabulary:
         self.offsets = np.concatenate(([0], np.cumsum([len(t) for t in by_rank]))).astype(np.int64)
         self.pairs = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.memo: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}, "_pattern": None}
+        return self.__dict__ | {"memo": {}, "old": {}, "_pattern": None}
 
     def split(self):
         if self.__dict__.get("_pattern") is None:
@@ -159,9 +161,12 @@ class Vocabulary:
                 continue
             ids = memo.get(t)
             if ids is None:
-                ids = self.merge(t.encode())
+                ids = self.old.get(t)
+                if ids is None:
+                    ids = self.merge(t.encode())
                 if len(memo) >= MEMO:
-                    memo.clear()
+                    self.old, memo = memo, {}
+                    self.memo = memo
                 memo[t] = ids
             lists.append(ids)
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
