@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clean, grammar, morph, segment  # noqa: F401
+from . import clean, grammar, morph, segment, sources  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
