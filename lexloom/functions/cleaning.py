@@ -14,6 +14,7 @@ from unicodedata import normalize
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .profiles import Profile, Toggles, valid_patterns
 
@@ -39,7 +40,7 @@ def _normal(form: str):
         return pa.array([t if t is None or normalized(form, t) else normalize(form, t) for t in texts.to_pylist()], pa.string())
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "string")
+    return F.arrow_udf(run, StringType())
 
 
 _nfc, _nfkd = _normal("NFC"), _normal("NFKD")

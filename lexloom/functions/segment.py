@@ -7,6 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .cleaning import DOT, protect, strip
 from .profiles import Profile
@@ -51,7 +52,7 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, r"[ \t\r\n]+"), lambda w: w != "")
 
 
-@F.arrow_udf("array<struct<start:int,stop:int,form:string>>")
+@F.arrow_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType()), StructField("form", StringType())])))
 def offsets(texts: pa.Array) -> pa.Array:
     """White-space tokens with half-open character offsets."""
     out = [None if t is None else [{"start": m.start(), "stop": m.end(), "form": m[0]} for m in CHUNK.finditer(t)] for t in texts.to_pylist()]

@@ -15,6 +15,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..session import ship
 from . import grammar as G
@@ -52,7 +53,7 @@ def joined_back(tokens: DataFrame, analysed: DataFrame, form: str = "form") -> D
 
 
 def lexicon_probe(forms: DataFrame, nouns: DataFrame, verbs: DataFrame) -> DataFrame:
-    """``form, category, lemma, cut``: an exact noun, else an exact verb, else a verb after 1 to 3 last letters are cut.
+    """``form, category, lemma, cut``: an exact noun, else an exact verb, else a verb after 1 to 3 last letters are cut; ``cut`` is -1 if nothing is found.
 
     ``nouns`` and ``verbs`` have a ``root``; a left join for each key, and Catalyst broadcasts them if they are small.
     """
@@ -64,7 +65,7 @@ def lexicon_probe(forms: DataFrame, nouns: DataFrame, verbs: DataFrame) -> DataF
     verb = F.coalesce(*(F.col(f"verb{k}") for k in range(4)))
     cut = F.coalesce(*(F.when(F.col(f"verb{k}").isNotNull(), F.lit(k)) for k in range(4)))
     noun = F.col("noun").isNotNull()
-    return out.select("form", F.when(noun, "noun").when(verb.isNotNull(), "verb").alias("category"), F.coalesce("noun", verb).alias("lemma"), F.when(noun, 0).otherwise(cut).alias("cut"))
+    return out.select("form", F.when(noun, "noun").when(verb.isNotNull(), "verb").alias("category"), F.coalesce("noun", verb).alias("lemma"), F.when(noun, 0).otherwise(F.coalesce(cut, F.lit(-1))).alias("cut"))
 
 
 def noun_analyses(forms: DataFrame, classes: DataFrame, stems: DataFrame, top: int = TOP_NOUN) -> DataFrame:
@@ -241,7 +242,7 @@ def conjugated(cells: DataFrame, before_vowel: dict[str, str] | None = None, neg
     after = F.when(middle != "", middle).otherwise(stem)
     sm = F.when(after.rlike(f"^{V}"), F.coalesce(lookup(F.col("sm"), before_vowel), "sm")).otherwise(F.col("sm")) if before_vowel else F.col("sm")
     first = F.when(no & F.lit(not infix), F.lit(negative)).otherwise(F.lit(""))
-    return cells.withColumn("surface", join_parts([first, sm, middle, stem, extension_form(F.col("ext"), F.col("root")), fv]))
+    return cells.withColumn("surface", join_parts([first, sm, middle, stem, extension_form(F.col("ext"), F.regexp_replace("root", "a$", "")), fv]))
 
 
 # slot parser -------------------------------------------------------------------------------------
@@ -332,7 +333,7 @@ def register_functions(spark, parser: SlotParser) -> None:
     """``analyse_word(text)`` as a SQL function: JSON of the ranked analyses."""
     import json
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(StringType())
     def analyse_word(words: pa.Array) -> pa.Array:
         return pa.array([None if w is None else json.dumps(parser.analyse(w)) for w in words.to_pylist()], pa.string())
 

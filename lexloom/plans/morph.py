@@ -59,7 +59,7 @@ def lexicon(spark):
 
 _FORMS = f"(SELECT DISTINCT form FROM {_TOKENS})"
 _PROBE = f"""(SELECT form, CASE WHEN n.root IS NOT NULL THEN 'noun' WHEN coalesce(v0.root, v1.root, v2.root, v3.root) IS NOT NULL THEN 'verb' END AS category, coalesce(n.root, v0.root, v1.root, v2.root, v3.root) AS lemma,
-    CASE WHEN n.root IS NOT NULL THEN 0 WHEN v0.root IS NOT NULL THEN 0 WHEN v1.root IS NOT NULL THEN 1 WHEN v2.root IS NOT NULL THEN 2 WHEN v3.root IS NOT NULL THEN 3 END AS cut FROM {_FORMS} f
+    CASE WHEN n.root IS NOT NULL THEN 0 WHEN v0.root IS NOT NULL THEN 0 WHEN v1.root IS NOT NULL THEN 1 WHEN v2.root IS NOT NULL THEN 2 WHEN v3.root IS NOT NULL THEN 3 ELSE -1 END AS cut FROM {_FORMS} f
     LEFT JOIN {rows_sql(STEMS, 'root, nc, verified')} n ON n.root = form LEFT JOIN {rows_sql(VERBS, 'root, gloss, verified')} v0 ON v0.root = form
     {' '.join(f"LEFT JOIN {rows_sql(VERBS, 'root, gloss, verified')} v{k} ON v{k}.root = left(form, length(form) - {k}) AND length(form) > {k}" for k in (1, 2, 3))})"""
 

@@ -2,7 +2,7 @@
 
 A folder is one ``binaryFile`` scan; a file's suffix picks how its bytes become text. HTML, Markdown and
 subtitles are built-in expressions on the decoded text; archives (docx, epub) are unpacked in Arrow batches.
-What can't be read has a null text and an ``error``; no file ends the job.
+What can't be read has a null text and an ``error``; no file ends the job. Empty files give no row.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.cleaning import strip
 
@@ -106,7 +107,7 @@ def decoded(content: bytes) -> str:
         return content.decode("latin-1")
 
 
-@F.arrow_udf("struct<text:string,error:string>")
+@F.arrow_udf(StructType([StructField("text", StringType()), StructField("error", StringType())]))
 def _decode(content: pa.Array, ext: pa.Array) -> pa.Array:
     out = []
     for c, e in zip(content.to_pylist(), ext.to_pylist()):
