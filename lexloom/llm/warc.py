@@ -7,7 +7,12 @@ of a record that fails them is passed over (by seeking in a plain file, by infla
 one) and never decoded. ``http_status`` is tested after the HTTP head, before the body is decoded. Only the columns of
 the schema given to the reader are made, so leaving out ``payload`` and ``text`` leaves out their work.
 
-Options of a read: ``partition_bytes``; ``mode``: ``fail`` (default) or ``permissive``, which ends a
+Spark 4.1 keeps the pushed filters with the relation: a DataFrame of a source that is used in two queries with other
+filters would be read with the first ones. Spark's own pushdown is therefore an option, ``pushdown``, to be set to
+``true`` where a relation serves one query, as ``read_warc`` with ``where`` makes it for each call. Without it
+Spark filters after the read and all uses are right.
+
+Options of a read: ``pushdown``; ``partition_bytes``; ``mode``: ``fail`` (default) or ``permissive``, which ends a
 damaged file at its last whole record; ``header.NAME``: only records whose header has this value.
 
 A write makes one file for each task under a name of its own and gives it its final name when the job commits, so
@@ -223,15 +228,6 @@ class WarcReader(DataSourceReader):
         self.on_header: list[Filter] = []
         self.on_http: list[Filter] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            if pushable(f, HEADER):
-                self.on_header.append(f)
-            elif pushable(f, ("http_status",)):
-                self.on_http.append(f)
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         packs: list[list[tuple[str, int]]] = []
         size = self.pack
@@ -312,6 +308,19 @@ class WarcReader(DataSourceReader):
         return tuple(values.get(k) for k in self.names), length
 
 
+class PushingReader(WarcReader):
+    """As ``WarcReader``, and takes predicates from Spark's planner."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if pushable(f, HEADER):
+                self.on_header.append(f)
+            elif pushable(f, ("http_status",)):
+                self.on_http.append(f)
+            else:
+                yield f
+
+
 def files(paths: str) -> list[tuple[str, int]]:
     """URIs and sizes of the files under a comma list of files and folders."""
     out = []
@@ -387,7 +396,7 @@ class Warc(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(schema, self.options)
+        return (PushingReader if self.options.get("pushdown", "false").lower() == "true" else WarcReader)(schema, self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options, overwrite)
@@ -400,8 +409,10 @@ def register(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def read_warc(spark: SparkSession, path: str, schema: str = SCHEMA, **options: str) -> DataFrame:
-    return register(spark).read.format("warc").schema(schema).options(**options).load(path)
+def read_warc(spark: SparkSession, path: str, schema: str = SCHEMA, where=None, **options: str) -> DataFrame:
+    """Records as a DataFrame; ``where``, a condition in SQL or a column, is pushed down as far as it can be."""
+    rows = register(spark).read.format("warc").schema(schema).options(**options)
+    return rows.load(path) if where is None else rows.option("pushdown", "true").load(path).filter(where)
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -423,7 +434,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC and read again: the response records alone, their requests' blocks passed over."""
     path = write_warc(page_records(spark.read.parquet(f"{sf_dir}/pages.parquet")), new_dir(spark, "warc"))
     schema = "record_type string, target_uri string, headers map<string,string>, http_status int, text string"
-    rows = read_warc(spark, path, schema).filter((F.col("record_type") == "response") & (F.col("http_status") == 200))
+    rows = read_warc(spark, path, schema, where="record_type = 'response' and http_status = 200")
     return rows.select(F.col("headers")["x-page-id"].cast("long").alias("page_id"), F.col("target_uri").alias("url"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
