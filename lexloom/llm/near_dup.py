@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..session import new_dir, remove, ship, written
 from .common import column, hashes, mix, need, plain_words, shingles, starts_inside, sub_batches
 
-VALUES, TREES, DEPTHS, REGION, SHINGLE, THRESHOLD = 128, 16, (3, 4, 5, 6, 8), 32, 3, 0.6
+VALUES, TREES, DEPTHS, REGION, SHINGLE, THRESHOLD = 128, 16, (2, 3, 4, 5, 6, 8), 32, 3, 0.55
 WIDTH = VALUES // TREES
 _rng = np.random.default_rng(20240501)
 _XOR = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint32)
