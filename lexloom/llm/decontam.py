@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import ship, written
 from .common import M1, column, mix, need, plain_words, sub_batches, words  # noqa: F401
 
-SHINGLE, RADIUS, THRESHOLD, CHUNK_BYTES, REGION = 3, 20, 0.6, 16 << 20, 1 << 15
+SHINGLE, RADIUS, THRESHOLD, CHUNK_BYTES, REGION = 3, 24, 0.5, 4 << 20, 1 << 15
 _BITS = np.arange(64, dtype=np.uint64)
 
 
