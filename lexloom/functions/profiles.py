@@ -120,3 +120,19 @@ class Found:
             if at is not None:
                 return at
         return None
+
+
+def load(path: str) -> tuple[dict[str, Profile], Profile]:
+    """Profiles of a YAML file with ``global`` and ``languages`` sections, and the one of all languages."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        data = Found(yaml.safe_load(f) or {})
+    shared, own = data.first("global", "defaults") or {}, data.first("languages", "profiles") or {}
+    rename = {"book_abbreviations": "abbreviations", "valid_single_chars": "single_chars", "ocr_corrections": "ocr", "path_keywords": "keywords"}
+    named = lambda x: {rename.get(k, k): v for k, v in (x or {}).items()}
+    base = merged(Profile(), named(shared))
+    if "punctuation_map" in shared:
+        base = replace(base, punctuation=tuple((str(k), str(v)) for k, v in shared["punctuation_map"].items()))
+    languages = {iso: named(x) | {"keywords": (f"/{iso}/", iso, *(named(x).get("keywords") or ()))} for iso, x in own.items()}
+    return profiles(languages, base), universal(languages, base)

@@ -88,13 +88,35 @@ def clitics(w: Column, before, after) -> Column:
     return F.struct(pro.alias("proclitic"), F.substring(rest, F.lit(1), F.length(rest) - F.length(post)).alias("host"), post.alias("enclitic"))
 
 
-def special_spans(c: Column, patterns: dict[str, str]) -> Column:
-    """Matches of several patterns without overlap: by start, then the longest, the first that fits is kept.
+def special_spans(patterns: dict[str, str]):
+    """A function from a text column to ``array<struct<start,stop,kind>>``: matches of several patterns without overlap.
 
-    One alternation over all patterns gives this when none is a prefix of a longer match of another one; the
-    patterns are tried in the order given at each place.
+    All matches are sorted by start, then the longest first, then by the order of the patterns; each is kept
+    if it begins where the one kept before it has ended.
     """
-    return F.regexp_extract_all(c, F.lit("|".join(f"({p})" for p in patterns.values())), F.lit(0))
+    compiled = [(k, re.compile(p)) for k, p in patterns.items()]
+
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            found = sorted((m.start(), -m.end(), i) for i, (_, p) in enumerate(compiled) for m in p.finditer(t or "") if m.end() > m.start())
+            kept, end = [], 0
+            for start, stop, i in found:
+                if start >= end:
+                    kept.append({"start": start, "stop": -stop, "kind": compiled[i][0]})
+                    end = -stop
+            out.append(None if t is None else kept)
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())])))
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType()), StructField("kind", StringType())])))
+
+
+def special_tokens(spans: Column, tokens: Column) -> Column:
+    """White-space tokens (``offsets``) that are one special span from end to end, with its kind; both as columns
+    of a table, as Spark doesn't take a Python function inside a lambda."""
+    kind = lambda t: F.filter(spans, lambda s: (s["start"] == t["start"]) & (s["stop"] == t["stop"]))
+    return F.filter(F.transform(tokens, lambda t: F.struct(t["form"].alias("form"), F.when(F.size(kind(t)) > 0, kind(t)[0]["kind"]).alias("kind"))), lambda x: x["kind"].isNotNull())
 
 
 def exploded(docs: DataFrame, parts: Column, keys=("doc_id",), name: str = "sentence") -> DataFrame:

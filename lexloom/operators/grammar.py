@@ -266,6 +266,58 @@ def schema_differences(data: dict) -> dict[str, list[str]]:
     return {"missing": sorted(k for k in REQUIRED if not g.get(k)), "unknown": sorted(p for s, p, w in problems(data) if w == "not known" and s == "warning")}
 
 
+def report(lang: str, data: dict) -> dict[str, int | list[str]]:
+    """Numbers of entries, and what is odd in a grammar's structure."""
+    r = rows(lang, data)
+    forms = [f for _, _, _, f, *_ in r["g_tam"] if f]
+    odd = [f"{n}: no prefix" for _, n, _, p, *_ in r["g_noun_class"] if not p] + [f"{kind}.{k}: no form" for _, kind, k, _, f in r["g_concord"] if not f] + [f"tense form {f} twice" for f in sorted({f for f in forms if forms.count(f) > 1})]
+    return {t.removeprefix("g_"): len(x) for t, x in r.items()} | {"odd": odd}
+
+
+def settings_problems(settings: dict) -> list[str]:
+    """What is wrong in a language's settings: ``language`` (letters and underscores), ``path``, ``version``, ``locale``."""
+    out = []
+    if not re.fullmatch(r"[a-z][a-z0-9_]*", str(settings.get("language", ""))):
+        out.append("language")
+    if settings.get("path") and not Path(settings["path"]).is_file():
+        out.append("path")
+    if settings.get("version") and not re.fullmatch(r"\d+(\.\d+){0,2}", str(settings["version"])):
+        out.append("version")
+    if settings.get("locale") and not re.fullmatch(r"[a-z]{2,3}([_-][A-Z]{2})?", str(settings["locale"])):
+        out.append("locale")
+    return out
+
+
+def lexicon(path: str, lang: str) -> list[tuple]:
+    """``(lang, cat, root, gloss, nc, pl_nc, verified)`` rows of a YAML lexicon with ``verbs``, ``nouns`` and ``closed_class``."""
+    data = read(path)
+    entry = lambda x: x if isinstance(x, dict) else {"root": str(x)}
+    out = []
+    for section, cat in (("verbs", "verb"), ("nouns", "noun"), ("closed_class", "closed")):
+        for x in map(entry, data.get(section) or []):
+            out.append((lang, x.get("category", cat) if cat == "closed" else cat, _form(_first(x, "root", "stem", "form", default="")), x.get("gloss"), x.get("noun_class"), x.get("plural_class"), bool(x.get("verified", False))))
+    return out
+
+
+LEXICON = "lang string, cat string, root string, gloss string, nc string, pl_nc string, verified boolean"
+
+
+def word_bank(path: str) -> list[tuple[str, str | None]]:
+    """``(word, gloss)`` pairs of a YAML list."""
+    import yaml
+
+    data = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or []
+    return [(str(_first(x, "word", "form")), x.get("gloss")) if isinstance(x, dict) else (str(x), None) for x in data]
+
+
+def transducer_source(data: dict, roots: list[str]) -> str:
+    """Continuation classes of a verb in the usual lexicon notation, slot by slot."""
+    r = rows("", data)
+    part = lambda name, forms, after, skip=True: "\n".join([f"LEXICON {name}", *(f"+{k}:{f} {after} ;" for f, k in forms), *([f"{after} ;"] if skip else [])])
+    concords = lambda kind: [(f, k) for _, c, k, _, f in r["g_concord"] if c.startswith(kind)]
+    return "\n\n".join(["LEXICON Root\nSubject ;", part("Subject", concords("subject"), "Tense", False), part("Tense", [(x[3], x[1]) for x in r["g_tam"] if x[3]], "Object"), part("Object", concords("object"), "Stem"), part("Stem", [(x, x) for x in roots], "Extension", False), part("Extension", [(x[3], x[1]) for x in r["g_extension"]], "Final"), part("Final", FINAL_VOWELS, "#", False)]) + "\n"
+
+
 #: A compact grammar of our own whose affixes occur in the driver's invented prose, and a sister language that differs a little.
 LEXEME = {
     "metadata": {"language": "lexa", "iso_code": "xla", "guthrie": "X10", "grammar_version": "1.0", "min_loader_version": "0.9", "max_loader_version": "2.0.0"},

@@ -325,6 +325,18 @@ def app_analyses(forms: DataFrame, parser: SlotParser) -> DataFrame:
     return forms.select("form").mapInArrow(lambda it: _app(it, parser), "form string, rank int, score double, segmentation string, gloss string")
 
 
+def hypothesis_union(verbal: DataFrame, nominal: DataFrame, top: int = TOP) -> DataFrame:
+    """Analyses of both kinds (``form, segmentation, score``), one for each segmentation, the best first."""
+    both = verbal.select("form", "segmentation", "score").unionByName(nominal.select("form", "segmentation", "score")).groupBy("form", "segmentation").agg(F.max("score").alias("score"))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("form").orderBy(F.desc("score"), "segmentation"))).filter(F.col("rank") <= top)
+
+
+def overlapping(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of half-open spans (``start, stop``) of one key that overlap; the spans of ``b`` as ``b_start, b_stop``."""
+    other = b.select(*keys, F.col("start").alias("b_start"), F.col("stop").alias("b_stop"))
+    return a.join(other, keys).filter((F.col("start") < F.col("b_stop")) & (F.col("b_start") < F.col("stop")))
+
+
 def interlinear(analyses: DataFrame) -> DataFrame:
     return analyses.select("form", "rank", F.concat_ws("\n", "segmentation", "gloss").alias("text"))
 

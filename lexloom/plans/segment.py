@@ -125,8 +125,17 @@ _SPECIAL = {"email": C.EMAIL, "amount": r"[0-9]+[.,][0-9]+", "number": r"[0-9]+"
 
 @query(f"SELECT doc_id, len(s)::BIGINT AS spans, md5(array_to_string(s, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(text, {Q('|'.join(f'({p})' for p in _SPECIAL.values()))}) AS s FROM documents)")
 def special_spans(spark, sf_dir):
-    s = S.special_spans(F.col("text"), _SPECIAL)
-    return documents(spark, sf_dir).select("doc_id", F.size(s).cast("long").alias("spans"), F.md5(F.array_join(s, " ")).alias("digest"))
+    """E-mails, amounts and numbers without overlap."""
+    s = documents(spark, sf_dir).select("doc_id", "text", S.special_spans(_SPECIAL)("text").alias("s"))
+    found = F.transform("s", lambda x: F.substring(F.col("text"), x["start"] + 1, x["stop"] - x["start"]))
+    return s.select("doc_id", F.size("s").cast("long").alias("spans"), F.md5(F.array_join(found, " ")).alias("digest"))
+
+
+@query(f"SELECT doc_id, count(*) AS n, md5(string_agg(w, ' ' ORDER BY i)) AS digest FROM (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT doc_id, {words('text')} AS w FROM documents)) WHERE regexp_matches(w, {Q('^(' + '|'.join(f'({p})' for p in _SPECIAL.values()) + ')$')}) GROUP BY doc_id")
+def special_tokens(spark, sf_dir):
+    both = documents(spark, sf_dir).select("doc_id", S.special_spans(_SPECIAL)("text").alias("s"), S.offsets("text").alias("o"))
+    t = both.select("doc_id", S.special_tokens(F.col("s"), F.col("o")).alias("t")).filter("size(t) > 0")
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join(F.transform("t", lambda x: x["form"]), " ")).alias("digest"))
 
 
 _CLEAN = K.strip(K.sub(K.emails("text"), r"[ \t]+", " "))

@@ -50,3 +50,18 @@ def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
 def remaining(sentences: DataFrame, done: DataFrame, key: str = "sent_id") -> DataFrame:
     """What isn't among the ids already written."""
     return sentences.join(done.select(key).distinct(), key, "left_anti")
+
+
+def annotated_conllu(blocks: DataFrame, sentences: DataFrame, sent: list[str]) -> DataFrame:
+    """Blocks with comment lines for source, language and text (``sentences``: the keys, ``source, lang, text``)."""
+    line = lambda k, c: F.concat(F.lit(f"# {k} = "), F.coalesce(F.regexp_replace(c, r"[\r\n]+", " "), F.lit("_")), F.lit("\n"))
+    return blocks.join(sentences, sent).select(*sent, F.concat(line("source", F.col("source")), line("lang", F.col("lang")), line("text", F.col("text")), "block").alias("block"))
+
+
+def read_manifest(path: str) -> dict[str, list[str]]:
+    """Language to files, of an object under ``languages`` or a bare one; values are lists or objects with ``files``."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    return {k: list(v.get("files", [])) if isinstance(v, dict) else list(v) for k, v in data.get("languages", data).items()}

@@ -112,3 +112,11 @@ def test_tagging(spark):
     line = {r.pos: r.l for r in out.select("pos", T.conllu_line().alias("l")).collect()}[1].split("\t")
     assert len(line) == 10 and line[8] == "2:nsubj"
     assert [value(spark, f(F.col("x")), x="NC12") for f in (T.number_of, T.number_by_suffix)] == ["Sing", "Plur"]
+
+
+def test_unions_and_overlaps(spark):
+    a = spark.createDataFrame([("w", "a-b", 0.5), ("w", "ab", 0.2)], "form string, segmentation string, score double")
+    b = spark.createDataFrame([("w", "a-b", 0.7)], "form string, segmentation string, score double")
+    assert [(r.segmentation, r.score, r.rank) for r in M.hypothesis_union(a, b).orderBy("rank").collect()] == [("a-b", 0.7, 1), ("ab", 0.2, 2)]
+    s = spark.createDataFrame([(1, 0, 3), (1, 3, 5)], "k int, start int, stop int")
+    assert M.overlapping(s, s, ["k"]).count() == 2

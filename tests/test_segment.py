@@ -62,3 +62,13 @@ def test_statistics(spark):
     assert (c.oov_rate, round(c.oov_all, 4)) == (0.5, 0.6667)
     files = spark.createDataFrame([("en", "b"), ("en", "a")], "lang string, path string")
     assert stats.file_lists(files).first().files == ["a", "b"]
+
+
+def test_special_spans(spark):
+    f = S.special_spans({"word": "[a-z]+", "mail": r"[a-z]+@[a-z]+", "none": "x*"})
+    got = one(spark, lambda c: f(c), "ab@cd ef")
+    assert [(x.start, x.stop, x.kind) for x in got] == [(0, 5, "mail"), (6, 8, "word")]
+    assert one(spark, lambda c: f(c), None) is None and one(spark, lambda c: f(c), "") == []
+    both = spark.createDataFrame([("ab@cd, ef",)], "t string").select(f("t").alias("s"), S.offsets("t").alias("o"))
+    t = both.select(S.special_tokens(F.col("s"), F.col("o")).alias("x")).first().x
+    assert [(x.form, x.kind) for x in t] == [("ef", "word")]

@@ -73,3 +73,27 @@ def test_incremental_run_writes_each_file_once(spark, tmp_path):
     (tmp_path / "in/b.txt").write_text("Three here.")
     incremental.run(*args).awaitTermination()
     assert sorted(r.sentence for r in spark.read.parquet(args[2]).collect()) == ["One here.", "Three here.", "Two here."]
+
+
+def test_yaml_and_manifests(spark, tmp_path):
+    from lexloom.functions import profiles
+    from lexloom.operators import grammar as G
+
+    f = tmp_path / "c.yaml"
+    f.write_text("global:\n  chapter_words: [Book]\n  punctuation_map: {'«': '<'}\n  ocr_corrections: {rn: m}\nlanguages:\n  zz:\n    valid_single_chars: [no, 'q']\n    ocr_corrections: {rn: n}\n")
+    own, every = profiles.load(str(f))
+    assert own["zz"].single_chars[-2:] == ("False", "q") and dict(own["zz"].ocr)["rn"] == "n" and own["zz"].punctuation == (("«", "<"),) and "Book" in every.chapter_words and own["zz"].keywords[:2] == ("/zz/", "zz")
+    f.write_text("verbs: [{root: -bon-, gloss: see, verified: true}, lim]\nnouns: [{stem: -ntu, noun_class: NC1, plural_class: NC2}]\nclosed_class: [{form: a, category: conj}]\n")
+    rows = G.lexicon(str(f), "xx")
+    assert rows[0] == ("xx", "verb", "bon", "see", None, None, True) and rows[2][4:6] == ("NC1", "NC2") and rows[3][1] == "conj"
+    assert spark.createDataFrame(rows, G.LEXICON).count() == 4
+    f.write_text("- {word: a, gloss: b}\n- c\n")
+    assert G.word_bank(str(f)) == [("a", "b"), ("c", None)]
+    assert G.settings_problems({"language": "x y", "path": "/no/such", "version": "a", "locale": "EN"}) == ["language", "path", "version", "locale"] and G.settings_problems({"language": "xx"}) == []
+    assert G.report("lexa", G.LEXEME)["noun_class"] == 10 and "NC1a: no prefix" in G.report("lexa", G.LEXEME)["odd"]
+    assert "LEXICON Tense\n+PRES:ea Object ;" in G.transducer_source(G.LEXEME, ["bon"])
+    m = tmp_path / "m.json"
+    m.write_text(json.dumps({"languages": {"en": {"files": ["a"]}, "fr": ["b"]}}))
+    assert sinks.read_manifest(str(m)) == {"en": ["a"], "fr": ["b"]}
+    b = sinks.annotated_conllu(spark.createDataFrame([(1, "X\n")], "sent int, block string"), spark.createDataFrame([(1, None, "en", "a\nb")], "sent int, source string, lang string, text string"), ["sent"])
+    assert b.first().block == "# source = _\n# lang = en\n# text = a b\nX\n"
