@@ -131,3 +131,30 @@ def formatted(conversations: DataFrame, merge: int = MERGE, relabel: int = RELAB
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def _sql(merge: int = MERGE, relabel: int = RELABEL, insert: int = INSERT) -> str:
+    """The same dynamic programming as a recursive query, a round for each turn, the text written along the way."""
+    mark = lambda r: f"<|{ROLES[r]}|>\n"
+    empty = lambda rs: "'" + "".join(mark(r) + "<|end|>\n" for r in rs) + "'"
+    steps = [f"({s}, {t}, 1, {insert * len(f)}, {len(f)}, {empty(f)})" for s in (3, 0, 1, 2) for t in range(3) if (f := _fill(s, t)) is not None]
+    steps += [f"({t}, {t}, 0, {merge}, 0, '')" for t in range(3)]
+    tails = {s: () if s == END else (*_fill(s, END), END) for s in range(3)}
+    ends = [f"({s}, {insert * len(t)}, {len(t)}, {empty(t)})" for s, t in tails.items()]
+    role = "CASE lower(trim(role)) " + " ".join(f"WHEN '{k}' THEN {ROLES.index(v)}" for k, v in [*ALIASES.items(), *zip(ROLES, ROLES)]) + " ELSE -1 END"
+    key = "cost * 1000000000000 + n * 100000000 + m * 10000 + s * 10 + way"
+    names = "CASE t " + " ".join(f"WHEN {t} THEN '{mark(t)}'" for t in range(3)) + " END"
+    return f"""WITH RECURSIVE c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS i, {role} AS r, replace(coalesce(text, ''), '<|', '< |') AS x FROM conversations),
+    w AS (SELECT * FROM (VALUES {", ".join(steps)}) v(s, t, way, price, fills, fill)), e AS (SELECT * FROM (VALUES {", ".join(ends)}) v(s, price, fills, fill)),
+    d AS (SELECT conv_id, 0::BIGINT AS i, 3 AS s, 0::BIGINT AS cost, 0::BIGINT AS n, 0::BIGINT AS m, 0::BIGINT AS filled, '' AS doc FROM (SELECT DISTINCT conv_id FROM conversations)
+      UNION ALL SELECT conv_id, i, t AS s, b.cost, b.n, b.m, b.filled, b.doc FROM (SELECT conv_id, i, t, arg_min(struct_pack(cost := cost, n := n, m := m, filled := filled, doc := doc), {key}) AS b
+        FROM (SELECT d.conv_id, c.i, w.t, d.s, w.way, d.cost + w.price + CASE WHEN w.t <> c.r THEN {relabel} ELSE 0 END AS cost, d.n + CASE WHEN w.t <> c.r THEN 1 ELSE 0 END AS n, d.m + 1 - w.way AS m, d.filled + w.fills AS filled,
+          CASE WHEN w.way = 0 THEN d.doc || '\n' || c.x ELSE d.doc || CASE WHEN d.i > 0 THEN '<|end|>\n' ELSE '' END || w.fill || {names.replace("CASE t", "CASE w.t")} || c.x END AS doc
+          FROM d JOIN c ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.i = d.i + 1 JOIN w ON w.s = d.s) GROUP BY conv_id, i, t)),
+    z AS (SELECT conv_id, max(i) AS k FROM c GROUP BY conv_id),
+    f AS (SELECT d.conv_id, z.k, arg_min(struct_pack(cost := d.cost + e.price, n := d.n, m := d.m, filled := d.filled + e.fills, doc := d.doc || '<|end|>\n' || e.fill), (d.cost + e.price) * 1000000000000 + d.n * 100000000 + d.m * 10000 + d.s) AS b
+      FROM d JOIN z ON z.conv_id IS NOT DISTINCT FROM d.conv_id AND z.k = d.i JOIN e ON e.s = d.s GROUP BY d.conv_id, z.k)
+    SELECT conv_id, k::INT AS turns_in, (k - b.m + b.filled)::INT AS turns_out, b.cost::INT AS cost, b.m::INT AS merged, b.n::INT AS relabelled, b.filled::INT AS inserted, b.doc AS rendered FROM f"""
+
+
+SQL = _sql()

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_near_dup": near_dup.op10_near_dup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_warc": warc.SQL, "op7_quality_rules": quality_rules.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat.SQL, "op5_warc": warc.SQL, "op7_quality_rules": quality_rules.SQL}
