@@ -11,15 +11,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+BATCH, DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(16 << 20)
 _made: list[str] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this library from where the driver has it.
+    """Let Python workers import this library from where the driver has it, and bound what they are sent at once.
 
     On a cluster the library is installed or sent with ``--py-files``; the added path is then
-    simply absent on the executors, which does no harm.
+    simply absent on the executors, which does no harm. Arrow batches hold ``BATCH_BYTES`` at
+    most, unless the session sets a size of its own.
     """
+    if spark.conf.get(BATCH, DEFAULT) == DEFAULT:
+        spark.conf.set(BATCH, BATCH_BYTES)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
