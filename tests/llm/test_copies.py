@@ -90,7 +90,7 @@ def test_signature_estimates_similarity():
     assert abs((sig[0] == sig[1]).mean() - len(x & y) / len(x | y)) < 0.12
 
 
-# benchmark ---------------------------------------------------------------------------------------
+# benchmark
 
 
 def grams(text: str, n: int) -> Counter:

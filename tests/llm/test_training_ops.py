@@ -17,7 +17,7 @@ from lexloom.llm import chat, cotrain, licenses, quality_rules, warc
 
 from .conftest import prose
 
-# licences ------------------------------------------------------------------------------------------
+# licences
 
 
 @pytest.fixture(scope="module")
@@ -62,7 +62,7 @@ def test_licences_of_odd_rows(spark, odd, model, documents):
     assert licenses.ordinary_lines(odd.limit(0)) == []
 
 
-# chat ----------------------------------------------------------------------------------------------
+# chat
 
 
 def cheapest(roles: tuple[int, ...], most: int) -> int:
@@ -99,7 +99,7 @@ def test_formatted(spark):
     assert chat.formatted(spark.createDataFrame([], schema)).count() == 0
 
 
-# WARC ----------------------------------------------------------------------------------------------
+# WARC
 
 
 @pytest.fixture
@@ -176,7 +176,7 @@ def test_bodies(body, head, want):
     assert warc.decoded(body, head) == want
 
 
-# quality -------------------------------------------------------------------------------------------
+# quality
 
 
 def junk(rng: random.Random, n: int) -> str:
@@ -239,7 +239,7 @@ def test_logistic_reaches_the_optimum():
     assert np.abs(g).max() < 0.05
 
 
-# quality rules -------------------------------------------------------------------------------------
+# quality rules
 
 
 def brute_rules(rows: list, least: int) -> set:
@@ -294,7 +294,7 @@ def test_rules_of_odd_rows(spark, odd):
     assert quality_rules.passing(odd.filter("doc_id in (1, 2)")).count() == 0
 
 
-# pipeline ------------------------------------------------------------------------------------------
+# pipeline
 
 
 def test_pipeline(spark, documents, rng, tmp_path):
