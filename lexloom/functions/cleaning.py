@@ -21,10 +21,10 @@ from .profiles import Profile, Toggles, valid_patterns
 WORD = r"[\p{L}\p{N}_]"
 EDGE, EDGE_AFTER = rf"(?<!{WORD})", rf"(?!{WORD})"
 URL, WWW = r"https?://[^ \t\r\n]+", r"www\.[^ \t\r\n]+"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+EMAIL = r"[%+._a-zA-Z0-9-]+@[.a-zA-Z0-9-]+[.][a-zA-Z]{2,}"
 HYPHEN = rf"({WORD}+)-[ \t\r]*\n[ \t\r\n]*({WORD}+)"
 HYPHEN_SPACE = rf"({WORD}+)-[ \t\r\n]+({WORD}+)(?=[ \t\r\n]|$)"
-VERSE = r"([0-9]{1,2} ?)?[A-Za-z#]{1,20}\.? ?[0-9]{1,3}:[0-9]{1,3}([,-][0-9]{1,3})*"
+VERSE = r"([0-9]{1,2} ?)?[#a-zA-Z]{1,20}[.]? ?[0-9]{1,3}:[0-9]{1,3}([,-][0-9]{1,3})*"
 DOT = "<DOT>"
 STRIP = r"^[ \t\r\n]+|[ \t\r\n]+$"
 

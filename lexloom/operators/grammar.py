@@ -74,7 +74,7 @@ def flags(value, path: str = "") -> list[tuple[str, str, str]]:
         left, _, note = value.partition("VERIFY:")
         return [(path, left.strip(), note.strip())]
     items = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
-    return [x for k, v in items for x in flags(v, f"{path}.{k}" if path else str(k))]
+    return [x for k, v in items for x in flags(v, ".".join(filter(None, (path, str(k)))))]
 
 
 def without_keys(value, names: set[str]):
@@ -166,7 +166,7 @@ def problems(data: dict, strict: bool = False, version: tuple[int, int, int] = V
             if v.get(k) and v[k] not in classes:
                 out.append(("error", f"noun_classes.{n}.{k}", f"no class {v[k]}"))
     for n, v in g["extensions"]:
-        if v.get("zone") not in ("Z1", "Z2", "Z3", "Z4", None):
+        if v.get("zone") not in (None, *"Z1 Z2 Z3 Z4".split()):
             out.append(("error", f"extensions.{n}.zone", f"no zone {v['zone']}"))
     places = [int(v.get("position", 0)) for _, v in g["slots"]]
     if len(set(places)) < len(places):
@@ -215,7 +215,7 @@ def eav(lang: str, own: dict[str, list[tuple]]) -> list[tuple]:
     for _, kind, key, _, form in own["g_concord"]:
         out += fact("concord", kind, **{key: form})
     for _, n, _, form, tense, aspect, mood in own["g_tam"]:
-        out += fact("tam", n, form=form, tense=tense, aspect=aspect, mood=mood)
+        out += fact("tam", n, mood=mood, aspect=aspect, tense=tense, form=form)
     for _, n, _, form, _, zone, sem in own["g_extension"]:
         out += fact("extension", n, form=form, zone=zone, sem=sem)
     for _, n, position, obligatory, _ in own["g_slot"]:
@@ -302,7 +302,7 @@ def lexicon(path: str, lang: str) -> list[tuple]:
 LEXICON = "lang string, cat string, root string, gloss string, nc string, pl_nc string, verified boolean"
 
 
-def word_bank(path: str) -> list[tuple[str, str | None]]:
+def word_bank(path: str) -> list[tuple]:
     """``(word, gloss)`` pairs of a YAML list."""
     import yaml
 
@@ -324,7 +324,7 @@ LEXEME = {
     "noun_classes": {
         "NC1": {"prefix": "th-", "plural_counterpart": "NC2", "semantic_domain": "human"}, "NC2": {"prefix": "an-", "singular_counterpart": "NC1", "semantic_domain": "human"}, "NC1a": {"prefix": "", "plural_counterpart": "NC2"},
         "NC3": {"prefix": "re-", "plural_counterpart": "NC4"}, "NC4": {"prefix": "er-", "singular_counterpart": "NC3"}, "NC7": {"prefix": "co-", "plural_counterpart": "NC8"}, "NC8": {"prefix": "en-", "singular_counterpart": "NC7"},
-        "NC15": {"prefix": "ho-"}, "NC16": {"prefix": "pa-", "semantic_domain": "locative"}, "NC18": {"prefix": "mu-", "semantic_domain": "locative", "active": False},
+        "NC15": {"prefix": "ho-"}, "NC16": {"prefix": "pa-", "semantic_domain": "locative"}, "NC18": {"active": False, "prefix": "mu-", "semantic_domain": "locative"},
     },
     "concords": {
         "subject_concord": {"1SG": "n", "2SG": "u", "NC1": "th", "NC2": "an", "NC3": "re", "NC4": "er", "NC7": "co", "NC8": "en", "NC16": "pa"},
@@ -338,7 +338,7 @@ LEXEME = {
         "NEG": {"position": 1, "allowed_content_types": ["negation"]}, "SM": {"position": 2, "obligatory": True, "allowed_content_types": ["concords.subject_concords"]}, "TAM": {"position": 3, "allowed_content_types": ["tam"]}, "OM": {"position": 4, "allowed_content_types": ["concords.object_concords"]},
         "ROOT": {"position": 5, "obligatory": True, "allowed_content_types": ["verb_root"]}, "EXT": {"position": 6, "allowed_content_types": ["extension"]}, "FV": {"position": 7, "obligatory": True, "allowed_content_types": ["final_vowel"]},
     },
-    "phonology": {"vowels": ["a", "e", "i", "o", "u"], "consonants": ["b", "c", "d", "h", "n", "r", "t"], "nasal_prefixes": ["n-"], "tone_system": "none", "sandhi_rules": ["SND.1"], "vowel_harmony_rules": ["VH.1"]},
+    "phonology": {"vowels": list("aeiou"), "consonants": ["b", "c", "d", "h", "n", "r", "t"], "nasal_prefixes": ["n-"], "tone_system": "none", "sandhi_rules": ["SND.1"], "vowel_harmony_rules": ["VH.1"]},
     "tokenization": {"word_boundary_pattern": r"\s+", "special_cases": {"etc": "etc"}, "orthographic_normalization": {"’": "'"}},
     "extension_rules": {"order": ["APPL", "CAUS", "RECP", "PASS"], "incompatible": [["CAUS", "RECP"]], "max": 3, "typical": 2},
 }
@@ -347,7 +347,7 @@ SISTER = LEXEME | {
     "noun_classes": {k: v for k, v in LEXEME["noun_classes"].items() if k not in ("NC16", "NC18")} | {"NC1": {"prefix": "thi-", "plural_counterpart": "NC2", "semantic_domain": "human"}, "NC5": {"prefix": "li-  VERIFY: heard in one village only"}},
     "concords": {"subject_concord": LEXEME["concords"]["subject_concord"] | {"NC1": "thi", "NC5": "li"}, "object_concord": {"NC1": "ha", "NC5": "li"}, "possessive_concord": {"NC1": "thia", "NC2": "ana"}},
     "tam": {"PRES": {"form": "ea", "tense": "present", "aspect": "imperfective"}, "PAST": {"form": "ci", "tense": "past", "aspect": "perfective"}},
-    "phonology": {"vowels": ["a", "e", "i", "o", "u", "ö"], "consonants": ["b", "c", "d", "n", "r", "t"], "nasal_prefixes": ["n-", "m-"], "tone_system": "high-low"},
+    "phonology": {"vowels": list("aeiouö"), "consonants": ["b", "c", "d", "n", "r", "t"], "nasal_prefixes": ["n-", "m-"], "tone_system": "high-low"},
 }
 GRAMMARS = {"lexa": LEXEME, "lexb": SISTER}
 NEGATION, FINAL_VOWELS, LOCATIVE = ("un", "in"), (("e", "IND"), ("ing", "PROG"), ("nd", "PERF"), ("a", "IND"), ("i", "NEG")), ("NC16", "NC17", "NC18")

@@ -38,6 +38,11 @@ def suffix(c: Column, forms: Iterable[str]) -> Column:
     return F.regexp_extract(c, f"^(.+?)({longest_first(forms)})$", 2)
 
 
+def table_of(words: str) -> dict[str, str]:
+    """A mapping written as ``key=value`` words."""
+    return dict(w.split("=") for w in words.split())
+
+
 def lookup(c: Column, pairs: dict[str, str]) -> Column:
     """Value of a small mapping; null if the key isn't there."""
     return F.element_at(F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv)), c)
@@ -176,7 +181,7 @@ def spans(parse: DataFrame) -> DataFrame:
     return long.select("form", "hyp", "slot", "morph", (stop - F.length("morph")).cast("int").alias("start"), stop.cast("int").alias("stop"))
 
 
-# phonology ---------------------------------------------------------------------------------------
+# phonology
 
 V = "[aeiou]"
 #: Boundary rules in order, on parts joined by ``|``.
@@ -245,7 +250,7 @@ def conjugated(cells: DataFrame, before_vowel: dict[str, str] | None = None, neg
     return cells.withColumn("surface", join_parts([first, sm, middle, stem, extension_form(F.col("ext"), F.regexp_replace("root", "a$", "")), fv]))
 
 
-# slot parser -------------------------------------------------------------------------------------
+# slot parser
 
 
 class SlotParser:

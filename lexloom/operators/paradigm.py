@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import grammar as G
-from .morph import RULES, conjugated, forward, lookup
+from .morph import RULES, conjugated, forward, lookup, table_of
 
 BASE = r"^(NC\d+)[a-z]$"
 
@@ -56,7 +56,7 @@ def generated(cells: DataFrame, rules=RULES) -> DataFrame:
     return cells.withColumn("underlying", parts).withColumn("surface", forward(parts, rules)).withColumn("error", F.when(F.col("sm").isNull(), "no subject").when(F.col("marker").isNull(), "no tense"))
 
 
-# rendering (tables of a grammar's size) ------------------------------------------------------------
+# rendering (tables of a grammar's size)
 
 
 def cells(table: DataFrame) -> tuple[list[str], list[list[str]]]:
@@ -101,7 +101,7 @@ def rendered(table: DataFrame, kind: str) -> str:
     return made[kind](table)
 
 
-# comparison --------------------------------------------------------------------------------------
+# comparison
 
 
 def diff(t: dict[str, DataFrame], a: str, b: str) -> DataFrame:
@@ -143,7 +143,7 @@ def resolve_paths(paths: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     return out.select("lang", "path", "value", F.when(~F.col("good"), "error").when(F.col("hit"), "found").otherwise("missing").alias("state"))
 
 
-# mapping to Universal Dependencies -----------------------------------------------------------------
+# mapping to Universal Dependencies
 
 
 def ud_classes(t: dict[str, DataFrame]) -> DataFrame:
@@ -153,9 +153,9 @@ def ud_classes(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def ud_tam(t: dict[str, DataFrame]) -> DataFrame:
-    tense = lookup(F.col("tense"), {"present": "Pres", "past": "Past", "future": "Fut"})
-    aspect = lookup(F.col("aspect"), {"imperfective": "Imp", "perfective": "Perf", "perfect": "Perf", "habitual": "Hab", "progressive": "Prog"})
-    mood = lookup(F.col("mood"), {"indicative": "Ind", "subjunctive": "Sub", "imperative": "Imp", "conditional": "Cnd"})
+    tense = lookup(F.col("tense"), table_of("present=Pres past=Past future=Fut"))
+    aspect = lookup(F.col("aspect"), table_of("imperfective=Imp perfective=Perf perfect=Perf habitual=Hab progressive=Prog"))
+    mood = lookup(F.col("mood"), table_of("indicative=Ind subjunctive=Sub imperative=Imp conditional=Cnd"))
     pairs = [F.when(v.isNotNull(), F.concat(F.lit(k + "="), v)) for k, v in (("Aspect", aspect), ("Mood", mood), ("Tense", tense))]
     return t["g_tam"].select("lang", "tam_id", F.concat_ws("|", *pairs).alias("feats"))
 
@@ -171,13 +171,13 @@ def ud_concords(t: dict[str, DataFrame]) -> DataFrame:
 
 def ud_voice(c: Column) -> Column:
     """Voice of an extension by its id, else by a word of its meaning."""
-    by_id = lookup(F.upper(c), {"PASS": "Pass", "CAUS": "Caus", "APPL": "Appl", "RECP": "Rcp", "REFL": "Rfl"})
-    return F.coalesce(by_id, *(F.when(F.lower(c).contains(k), v) for k, v in (("passiv", "Pass"), ("causativ", "Caus"), ("applicativ", "Appl"), ("reciproc", "Rcp"), ("reflexiv", "Rfl"))), F.lit("Act"))
+    by_id = lookup(F.upper(c), table_of("PASS=Pass CAUS=Caus APPL=Appl RECP=Rcp REFL=Rfl"))
+    return F.coalesce(by_id, *(F.when(F.lower(c).contains(k), v) for k, v in table_of("passiv=Pass causativ=Caus applicativ=Appl reciproc=Rcp reflexiv=Rfl").items()), F.lit("Act"))
 
 
 def ud_tokens(morphs: DataFrame) -> DataFrame:
     """Features of tokens from morphemes (``token, pos, feature, value``): the first wins, but Voice by rank."""
-    rank = lookup(F.col("value"), {v: str(i) for i, v in enumerate(("Pass", "Caus", "Appl", "Rcp", "Rfl", "Act"))}).cast("int")
+    rank = lookup(F.col("value"), {v: str(i) for i, v in enumerate("Pass Caus Appl Rcp Rfl Act".split())}).cast("int")
     order = F.struct(F.when(F.col("feature") == "Voice", F.coalesce(rank, F.lit(9))).otherwise(0), "pos", "value")
     first = morphs.groupBy("token", "feature").agg(F.min_by("value", order).alias("value"))
     return first.groupBy("token").agg(F.array_join(F.array_sort(F.collect_list(F.concat("feature", F.lit("="), "value"))), "|").alias("feats"))
@@ -190,7 +190,7 @@ def tam_by_gloss(glosses: DataFrame, tam: DataFrame) -> DataFrame:
     return exact.join(first, "gloss", "left").select("gloss", F.coalesce("exact", "first").alias("tam_id"))
 
 
-# checks of slot assignments --------------------------------------------------------------------------
+# checks of slot assignments
 
 
 def violations(a: DataFrame, t: dict[str, DataFrame], lang: str, rules: dict) -> DataFrame:

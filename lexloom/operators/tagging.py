@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import grammar as G
-from .morph import ACCEPT_VERB, lookup
+from .morph import ACCEPT_VERB, lookup, table_of
 
 SUBJECT_WINDOW, OBJECT_WINDOW, MODIFIER_WINDOW, LEAST = 8, 5, 4, 0.25
-PLURAL = ("2", "4", "6", "8", "10", "13")
+PLURAL = tuple("2 4 6 8 10 13".split())
 TAM_FEATS = {"PRES": "Tense=Pres|Aspect=Imp", "PAST": "Tense=Past|Aspect=Perf", "FUT": "Tense=Fut", "SUBJ": "Mood=Sub", "PERF": "Aspect=Perf", "HAB": "Aspect=Hab", "IMP": "Mood=Imp"}
-VOICE = {"PASS": "Pass", "CAUS": "Cau", "APPL": "Appl", "RECP": "Rcp", "REFL": "Rfl"}
+VOICE = table_of("PASS=Pass CAUS=Cau APPL=Appl RECP=Rcp REFL=Rfl")
 
 
 def upos(closed: dict[str, str]) -> tuple[Column, Column]:

@@ -105,7 +105,7 @@ def app_analyze(spark, sf_dir):
     return M.app_analyses(M.distinct_forms(tokens(spark, sf_dir)), M.SlotParser(G.LEXEME))
 
 
-# tagged tokens: affixes by expression alone, so that the whole tagging is one stage -------------------
+# tagged tokens: affixes by expression alone, so that the whole tagging is one stage
 
 
 def _in_lists(c, pairs):

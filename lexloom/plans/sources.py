@@ -36,13 +36,13 @@ def md_strip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(S.markdown_text(marked)).alias("digest"))
 
 
-_SRT = "'1' || chr(10) || '00:00:01,000 --> 00:00:02,500' || chr(10) || '<i>' || text || '</i>' || chr(10) || chr(10) || chr(10) || '2' || chr(10) || '00:00:03,000 --> 00:00:04,000' || chr(10) || '{\\an8}end'"
+_SRT = "'1' || chr(10) || '0:00:07,000 --> 0:00:08,500' || chr(10) || '<i>' || text || '</i>' || chr(10) || chr(10) || chr(10) || '2' || chr(10) || '00:00:03,000 --> 00:00:04,000' || chr(10) || '{\\an8}end'"
 _SRT_TEXT = strip(sub(sub(sub(sub(sub(_SRT, S.TIMECODE, ""), r"(?m)^[ \t]*[0-9]+[ \t]*$", ""), r"<[^>]*>|\{[^}]*\}", ""), r"(?m)^[ \t]+$", ""), r"\n{3,}", "\n\n"))
 
 
 @query(f"SELECT conv_id, turn, md5({_SRT_TEXT}) AS digest FROM conversations")
 def srt_extract(spark, sf_dir):
-    subtitles = F.concat(F.lit("1\n00:00:01,000 --> 00:00:02,500\n<i>"), "text", F.lit("</i>\n\n\n2\n00:00:03,000 --> 00:00:04,000\n{\\an8}end"))
+    subtitles = F.concat(F.lit("1\n0:00:07,000 --> 0:00:08,500\n<i>"), "text", F.lit("</i>\n\n\n2\n00:00:03,000 --> 00:00:04,000\n{\\an8}end"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(S.subtitle_text(subtitles)).alias("digest"))
 
 

@@ -141,7 +141,7 @@ def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
     return extracted(files)
 
 
-# sentences ---------------------------------------------------------------------------------------
+# sentences
 
 
 def sentences_txt(spark: SparkSession, path: str) -> DataFrame:

@@ -16,7 +16,7 @@ def test_formats(spark, tmp_path):
     (d / "a.txt").write_bytes("caf\xe9".encode("latin-1"))
     (d / "b.HTML").write_text("<p>Hi &amp; <b>you</b><script>no()</script></p>")
     (d / "c.md").write_text("# T\n*x*")
-    (d / "d.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\n<i>Hello</i>\n\n2\n00:00:03,000 --> 00:00:04,000\n\n")
+    (d / "d.srt").write_text("1\n0:00:05,000 --> 0:00:06,000\n<i>Hello</i>\n\n2\n00:00:03,000 --> 00:00:04,000\n\n")
     (d / "e.csv").write_text('name,n\n"A, b",1\n')
     with zipfile.ZipFile(d / "f.docx", "w") as z:
         z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:t>one</w:t></w:p><w:p><w:t>two</w:t></w:p></w:document>')
