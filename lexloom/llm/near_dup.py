@@ -1,13 +1,12 @@
 """Near-duplicate groups by MinHash and an LSH forest.
 
 Every document's word shingles give a MinHash signature. The forest holds ``TREES`` orders of the
-signature: each tree sorts the rows by its own run of signature values, and rows that share a long
-common prefix in a tree are neighbours. How long a prefix must be is settled for each region
-apart: the shallowest depth at which no more than ``REGION`` rows share it. All rows of such a
-region are candidates for each other. A region that stays larger at the deepest level (copies by
-the thousand) is settled exactly for grouping: every row is compared with the region's first row,
-and a row that fails this is compared with all rows of the region. Candidates are verified by the
-share of equal signature values, and connected pairs form groups.
+signature: each tree sorts the rows by its own run of signature values, and all rows that share the
+first ``DEPTH`` values in a tree, a region, are candidates for each other, however many they are. In a
+region of more than ``REGION`` rows every row is compared with the region's first row, and a row that
+fails this is compared with all rows of the region, in blocks of signatures; for grouping that equals
+comparing all pairs. Candidates are verified by the share of equal signature values, and connected
+pairs form groups.
 
 Defined results: a text without any word (null, empty, punctuation) is no copy of anything, a
 group of its own. Rows repeated with one ``doc_id`` are copies; one row of each group is kept, the
@@ -28,7 +27,9 @@ from pyspark.sql import functions as F
 from ..session import new_dir, remove, ship, written
 from .common import column, hashes, mix, need, plain_words, shingles, starts_inside, sub_batches
 
-VALUES, TREES, DEPTHS, REGION, SHINGLE, THRESHOLD = 128, 16, (2, 3, 4, 5, 6, 8), 32, 3, 0.55
+VALUES, TREES, DEPTH, REGION, SHINGLE, THRESHOLD = 128, 16, 2, 32, 3, 0.55
+#: Signatures of a large region that are compared at once, and those of one side in a tile.
+BLOCK, TILE = 4096, 256
 WIDTH = VALUES // TREES
 _rng = np.random.default_rng(20240501)
 _XOR = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint32)
@@ -86,19 +87,64 @@ def _pair(x, y):
 
 
 def regions(nodes: DataFrame) -> DataFrame:
-    """Tree, prefix at the region's own depth, node and size, for regions of two rows and more."""
-    keys = F.array(*(F.struct(F.lit(t).cast("tinyint").alias("tree"), F.expr(f"substring(sig, {t * WIDTH * 2 + 1}, {WIDTH * 2})").alias("key")) for t in range(TREES)))
+    """Tree, prefix of ``DEPTH`` values, node and size, for regions of two rows and more."""
+    keys = F.array(*(F.struct(F.lit(t).cast("tinyint").alias("tree"), F.expr(f"substring(sig, {t * WIDTH * 2 + 1}, {DEPTH * 2})").alias("prefix")) for t in range(TREES)))
     rows = nodes.select("nid", F.inline(keys))
-    for d in DEPTHS:
-        rows = rows.withColumn(f"p{d}", F.expr(f"substring(key, 1, {d * 2})"))
-    rows = rows.drop("key")
-    # all windows are clustered by (tree, shortest prefix): one exchange, and the deeper counts see few rows
-    rows = rows.withColumn(f"n{DEPTHS[0]}", F.count("*").over(Window.partitionBy("tree", f"p{DEPTHS[0]}"))).filter(f"n{DEPTHS[0]} > 1")
-    for i in range(len(DEPTHS) - 1, 0, -1):
-        rows = rows.withColumn(f"n{DEPTHS[i]}", F.count("*").over(Window.partitionBy("tree", *(f"p{d}" for d in DEPTHS[: i + 1]))))
-    depth = F.coalesce(*(F.when(F.col(f"n{d}") <= REGION, F.lit(d)) for d in DEPTHS), F.lit(DEPTHS[-1]))
-    pick = lambda c: F.coalesce(*(F.when(F.col("depth") == d, F.col(f"{c}{d}")) for d in DEPTHS))
-    return rows.withColumn("depth", depth).select("tree", pick("p").alias("prefix"), "nid", pick("n").alias("n")).filter("n > 1")
+    return rows.select("tree", "prefix", "nid", F.count("*").over(Window.partitionBy("tree", "prefix")).alias("n")).filter("n > 1")
+
+
+def alike(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the signatures of ``x`` and ``y`` that have ``least`` values or more in common."""
+    yt, found = np.ascontiguousarray(y.T), []
+    for i in range(0, len(x), TILE):
+        xt = np.ascontiguousarray(x[i : i + TILE].T)
+        same = np.zeros((xt.shape[1], len(y)), np.uint8)
+        for a, b in zip(xt, yt):
+            same += a[:, None] == b
+        p, q = np.nonzero(same >= least)
+        found.append((p + i, q))
+    return tuple(np.concatenate(k) for k in zip(*found))
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            x, y, sx, sy = (column(batch, c)[k].values for c in ("x", "y", "sx", "sy"))
+            sx, sy = (np.frombuffer(b"".join(s.to_pylist()), np.uint16).reshape(-1, VALUES) for s in (sx, sy))
+            p, q = alike(sx, sy, least)
+            x, y = x.to_numpy()[p], y.to_numpy()[q]
+            own = x != y
+            yield pa.record_batch([pa.array(np.minimum(x, y)[own]), pa.array(np.maximum(x, y)[own])], names=["a", "b"])
+
+
+def _blocked(rows: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """Rows ``(tree, prefix, nid)`` with their signatures, about ``BLOCK`` to a list."""
+    region = Window.partitionBy("tree", "prefix")
+    rows = rows.withColumn("of", F.pmod(F.xxhash64("nid", F.lit(name)), F.ceil(F.count("*").over(region) / BLOCK)))
+    pair = F.collect_list(F.struct("nid", "sig"))
+    return rows.join(nodes, "nid").groupBy("tree", "prefix", F.col("of").alias(f"i{name}")).agg(pair.alias("p")).select("tree", "prefix", f"i{name}", F.col("p.nid").alias(name), F.col("p.sig").alias(f"s{name}"))
+
+
+def _against_all(failed: DataFrame, large: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Verified pairs of each failed row with all rows of its region; work is spread by pairs of blocks."""
+    large = large.join(failed.select("tree", "prefix").distinct(), ["tree", "prefix"], "left_semi")
+    x, y = written(_blocked(failed, nodes, "x"), "failed"), written(_blocked(large, nodes, "y"), "members")
+    both = x.select("tree", "prefix", "ix").join(y.select("tree", "prefix", "iy"), ["tree", "prefix"])
+    both = both.join(x, ["tree", "prefix", "ix"]).join(y, ["tree", "prefix", "iy"]).select("x", "sx", "y", "sy")
+    return both.mapInArrow(lambda it: _blocks(it, int(np.ceil(threshold * VALUES))), "a long, b long").distinct()
+
+
+def similar(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Verified pairs ``(a, b)`` of nodes that connect all similar ones of each region."""
+    found = written(regions(nodes), "regions")
+    small, large = found.filter(f"n <= {REGION}"), found.filter(f"n > {REGION}")
+    ids = small.groupBy("tree", "prefix").agg(F.collect_list("nid").alias("ids"))
+    pairs = ids.select(F.posexplode("ids").alias("i", "x"), "ids").select("x", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("y")).select(*_pair(F.col("x"), F.col("y")))
+    heads = large.withColumn("head", F.min("nid").over(Window.partitionBy("tree", "prefix"))).filter("nid <> head")
+    pairs = pairs.union(heads.select(*_pair(F.col("nid"), F.col("head")))).distinct()
+    edges = written(_verified(pairs, nodes, threshold), "edges")
+    failed = heads.select("tree", "prefix", "nid", *_pair(F.col("nid"), F.col("head"))).join(edges, ["a", "b"], "left_anti").select("tree", "prefix", "nid")
+    return edges.union(_against_all(written(failed, "apart"), large, nodes, threshold))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -140,16 +186,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     rows = need(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("thash"), "text")
     signed = written(rows.mapInArrow(lambda it: _sign(it, shingle), "doc_id long, thash long, nid long, sig binary"), "signed")
     nodes = signed.filter("nid is not null").groupBy("nid").agg(F.first("sig").alias("sig"))
-    found = written(regions(nodes), "regions")
-    small, large = found.filter(f"n <= {REGION}"), found.filter(f"n > {REGION}")
-    ids = small.groupBy("tree", "prefix").agg(F.collect_list("nid").alias("ids"))
-    pairs = ids.select(F.posexplode("ids").alias("i", "x"), "ids").select("x", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("y")).select(*_pair(F.col("x"), F.col("y")))
-    heads = large.withColumn("head", F.min("nid").over(Window.partitionBy("tree", "prefix"))).filter("nid <> head")
-    pairs = pairs.union(heads.select(*_pair(F.col("nid"), F.col("head")))).distinct()
-    edges = written(_verified(pairs, nodes, threshold), "edges")
-    failed = heads.select("tree", "prefix", F.col("nid").alias("x"), *_pair(F.col("nid"), F.col("head"))).join(edges, ["a", "b"], "left_anti")
-    rest = failed.join(large.select("tree", "prefix", F.col("nid").alias("y")), ["tree", "prefix"]).filter("x <> y").select(*_pair(F.col("x"), F.col("y"))).distinct()
-    labels = components(written(edges.union(_verified(rest, nodes, threshold)), "pairs"))
+    labels = components(written(similar(nodes, threshold), "pairs"))
     named = signed.filter("nid is not null").select("doc_id", "thash", "nid").join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     group = Window.partitionBy("label")
     first = F.row_number().over(group.orderBy(F.col("doc_id").asc_nulls_last(), "thash"))

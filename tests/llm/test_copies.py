@@ -81,6 +81,27 @@ def test_components_by_union_find(spark):
     assert near_dup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_crowded_regions_lose_no_pair(spark):
+    """Half of all values are common to the corpus, so that regions are large at every depth but the last."""
+    rng, n = np.random.default_rng(2), 1500
+    sig = rng.integers(0, 1 << 16, (n, near_dup.VALUES), dtype=np.uint16)
+    common = rng.integers(0, 1 << 16, near_dup.VALUES, dtype=np.uint16)
+    sig = np.where(rng.random(sig.shape) < 0.5, common, sig)
+    for i in range(150):  # pairs of 0.55 to 0.7
+        keep = rng.random(near_dup.VALUES) < 0.2 + 0.35 * i / 150
+        sig[i + 150] = np.where(keep, sig[i], np.where(sig[i] == common, common, sig[i + 150]))
+    least = int(np.ceil(near_dup.THRESHOLD * near_dup.VALUES))
+    same = np.zeros((n, n), int)
+    for k in range(near_dup.VALUES):
+        same += sig[:, k, None] == sig[:, k]
+    near = {(i, j) for i, j in zip(*np.nonzero(same >= least)) if i < j}
+    nodes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sig)], "nid long, sig binary")
+    label = {r.nid: r.label for r in near_dup.components(near_dup.similar(nodes)).collect()}
+    found = {(i, j) for i, j in near if label.get(i, i) == label.get(j, j)}
+    assert len(near) > 100 and len(found) >= 0.98 * len(near)
+    assert not any(i in label for i in range(300, n)) and not set(label.values()) & set(range(300, n))
+
+
 def test_signature_estimates_similarity():
     rng = random.Random(1)
     a = prose(rng, 400)
