@@ -209,7 +209,8 @@ def _scan(batches: Iterable[pa.RecordBatch], index: Index, threshold: float) ->
         got = matches(column(b, "text"), index, threshold)
         if got:
             r, it, x, f = zip(*got)
-            yield pa.record_batch([column(b, "doc_id").take(pa.array(r)), pa.array([index.ids[i] for i in it], pa.int64()), pa.array(x, pa.float64()), pa.array(f, pa.int64())], names=["doc_id", "item_id", "similarity", "first_word"])
+            keys = [c for c in b.schema.names if c != "text"]
+            yield pa.record_batch([*(column(b, c).take(pa.array(r)) for c in keys), pa.array([index.ids[i] for i in it], pa.int64()), pa.array(x, pa.float64()), pa.array(f, pa.int64())], names=[*keys, "item_id", "similarity", "first_word"])
 
 
 def chunks(benchmark: DataFrame, chunk_bytes: int) -> Iterator[tuple[list, list]]:
@@ -225,14 +226,21 @@ def chunks(benchmark: DataFrame, chunk_bytes: int) -> Iterator[tuple[list, list]
     yield ids, texts
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, shingle: int = SHINGLE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``doc_id, item_id, similarity, first_word``: the best window of each pair that reaches ``threshold``."""
-    spark = ship(docs.sparkSession)
-    rows, out = need(docs, "doc_id", "text").filter("text is not null"), None
+def _scanned(rows: DataFrame, benchmark: DataFrame, threshold: float, radius: int, shingle: int, chunk_bytes: int) -> DataFrame:
+    """The other columns of ``rows`` with ``item_id, similarity, first_word``, for each row and item of a chunk."""
+    spark, out = ship(rows.sparkSession), None
+    schema = ", ".join([f"{c} {kind}" for c, kind in rows.dtypes if c != "text"] + ["item_id long, similarity double, first_word long"])
+    rows = rows.filter("text is not null")
     for ids, texts in chunks(benchmark, chunk_bytes):
         index = spark.sparkContext.broadcast(Index(ids, texts, radius, shingle))
-        part = rows.mapInArrow(lambda it, index=index: _scan(it, index.value, threshold), "doc_id long, item_id long, similarity double, first_word long")
+        part = rows.mapInArrow(lambda it, index=index: _scan(it, index.value, threshold), schema)
         out = part if out is None else out.union(part)
+    return out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, shingle: int = SHINGLE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``doc_id, item_id, similarity, first_word``: the best window of each pair that reaches ``threshold``."""
+    out = _scanned(need(docs, "doc_id", "text"), benchmark, threshold, radius, shingle, chunk_bytes)
     best = F.max_by(F.col("first_word"), F.struct("similarity", -F.col("first_word"))).alias("first_word")
     return out.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), best)
 
@@ -240,11 +248,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` without those in which a benchmark item was found.
 
-    The list of found documents is short beside the corpus; Catalyst broadcasts it if it is small.
-    A row with a null ``doc_id`` is dropped if any such row is contaminated.
+    Rows are told apart by ``doc_id`` and a hash of the text, so that a clean row stays if another one of
+    its ``doc_id``, or of none, is contaminated. The list of found rows is short beside the corpus; Catalyst
+    broadcasts it if it is small.
     """
-    found = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct(), "leaks")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_anti")
+    rows = need(docs, "doc_id", "text").select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h"), "text")
+    found = written(_scanned(rows, benchmark, THRESHOLD, RADIUS, SHINGLE, CHUNK_BYTES).select("__id", "__h").distinct(), "leaks")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(docs["text"]) == found["__h"]), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

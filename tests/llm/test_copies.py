@@ -181,6 +181,13 @@ def test_clean_of_odd_rows(spark, odd):
     assert decontam.clean(odd, bench.limit(0)).count() == 9 and decontam.clean(odd.limit(0), bench).count() == 0
 
 
+def test_clean_keeps_clean_rows_of_shared_and_null_ids(spark, documents):
+    bench = spark.createDataFrame([(1, "the same row here")], "item_id long, text string")
+    leak, fine = "the same row here", "quite another text of its own"
+    docs = documents([(None, leak), (None, fine), (7, leak), (7, fine), (8, leak), (9, None)])
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontam.clean(docs, bench).collect()) == [(0, fine), (7, fine), (9, "")]
+
+
 def test_plain_words():
     h, offsets, _ = plain_words(pa.array(["A, b.", None, "a"]))
     assert offsets.tolist() == [0, 2, 2, 3] and h[0] == h[2]
