@@ -3,13 +3,14 @@
 The text view sees the words: hashed word frequencies and shares of symbols, digits, capitals,
 distinct, most frequent and doubled words. The metadata view sees what is known of a page beside its words: language,
 source, stated length and layout in lines. Each view has a logistic regression. In every round each
-labels the pool's documents that it is sure of, and these go to the *other* view's training rows, a
-class no faster than its share among the labelled ones. Both are calibrated on held-out labelled rows
+scores all unlabelled documents, and those that it is most sure of go to the *other* view's training rows, a
+class no faster than its share among the labelled ones, and each language and source by its own share. Both are calibrated on held-out labelled rows
 (Platt), and so is their combination, which scores all documents.
 
-What is fitted is bounded: about ``LABELLED`` labelled and ``POOL`` unlabelled documents, chosen by a
-hash of ``doc_id``, whatever the size of the tables. Scoring covers every row and the whole text, in
-one pass without an exchange.
+The rows that are fitted are bounded: about ``LABELLED`` labelled ones, chosen by a hash of ``doc_id``, and
+``POOL`` labelled by the views, beside ``LEAST`` a round of each class, language and source. Features of all
+rows are written once and every round scores them all; the scores of sure rows alone go through an exchange.
+Scoring covers every row and the whole text, in one pass without an exchange.
 
 Defined results: a null text or one without a word has score 0 and isn't kept; null metadata is a value of its own;
 a document whose labels disagree takes the majority, of equal numbers the lower; without labels of both
@@ -18,19 +19,19 @@ kinds nothing is fitted, scores are null and all rows with a word are kept. Repe
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import new_dir, remove, ship
 from .common import column, hashes, need, segment_sum, sub_batches, words
 
-LABELLED, POOL, ROUNDS, SURE, KEEP, BUCKETS = 8000, 8000, 4, 0.95, 0.3, 256
+LABELLED, POOL, LEAST, ROUNDS, SURE, KEEP, BUCKETS = 8000, 8000, 2, 4, 0.95, 0.3, 256
 META = ("lang", "source", "n_chars")
 LANGS, SOURCES, LENGTHS = 16, 64, 16
 
@@ -58,9 +59,12 @@ def text_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def one_hot(values: list, buckets: int) -> np.ndarray:
+    return np.eye(buckets + 1)[bucket_of(values, buckets)]
+
+
+def bucket_of(values: list, buckets: int) -> np.ndarray:
     """Hashed, null in a bucket of its own."""
-    at = [buckets if v is None else xxhash.xxh64_intdigest(str(v)) % buckets for v in values]
-    return np.eye(buckets + 1)[np.array(at, int)]
+    return np.array([buckets if v is None else xxhash.xxh64_intdigest(str(v)) % buckets for v in values], int)
 
 
 def meta_view(batch: pa.RecordBatch) -> np.ndarray:
@@ -106,10 +110,13 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, st
 class View:
     """A logistic regression over scaled columns and its Platt calibration."""
 
-    def __init__(self, x: np.ndarray):
-        self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-3)
+    def __init__(self, sums: np.ndarray):
+        """From the number of rows and the sums and sums of squares of their columns, in a row."""
+        n, (total, square) = sums[0], sums[1:].reshape(2, -1)
+        self.mean = total / n
+        self.scale = np.maximum(np.sqrt(np.maximum(square / n - self.mean**2, 0)), 1e-3)
         self.mean[0], self.scale[0] = 0, 1
-        self.b, self.platt = np.zeros(x.shape[1]), np.array([0.0, 1.0])
+        self.b, self.platt = np.zeros(len(total)), np.array([0.0, 1.0])
 
     def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, held_x: np.ndarray, held_y: np.ndarray) -> None:
         """From the weights of the round before, which are near."""
@@ -137,61 +144,135 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(self.combine[0] + self.combine[1] * a + self.combine[2] * b)
 
 
-def co_train(tx: np.ndarray, mx: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, sure: float = SURE) -> Model:
-    """``y``: 1, 0, or -1 for the pool; ``held``: labelled rows for calibration alone."""
-    train, pool = np.flatnonzero((y >= 0) & ~held), np.flatnonzero(y < 0)
-    hy = y[held].astype(float)
-    views, given = (tx, mx), ({}, {})  # given[k]: labels that view k got from the other, by row
-    share = y[train].mean()
-    fit = [View(x[~held].astype(np.float64)) for x in views]
+def sums(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
+
+
+def exchange(views: tuple, y: np.ndarray, held: tuple, hy: np.ndarray, fit: list[View], choose: Callable, rounds: int) -> Model:
+    """Fit on the labelled rows of ``views`` and, round by round, on what each view gives the other.
+
+    ``choose(fit, given)`` yields ``k, key, label, x``: a row that view ``k`` labels, with its features in the other view;
+    ``given[k]`` holds what view ``k`` got so far, by key.
+    """
+    given = ({}, {})
     for r in range(rounds + 1):
         for k, x in enumerate(views):
-            more = np.array(sorted(given[k]), int)
-            rows = np.concatenate([train, more])
-            labels = np.concatenate([y[train], [given[k][i] for i in more.tolist()]]).astype(float)
-            fit[k].fit(x[rows], labels, np.concatenate([np.ones(len(train)), np.full(len(more), 0.5)]), x[held], hy)
-        if r == rounds or not len(pool):
-            break
-        for k, x in enumerate(views):
+            more = [given[k][i] for i in sorted(given[k])]
+            rows = np.concatenate([x, np.array([f for _, f in more], x.dtype).reshape(-1, x.shape[1])])
+            labels = np.concatenate([y, [label for label, _ in more]]).astype(float)
+            fit[k].fit(rows, labels, np.concatenate([np.ones(len(y)), np.full(len(more), 0.5)]), held[k], hy)
+        if r < rounds:
+            for k, key, label, f in list(choose(fit, given)):
+                given[1 - k][key] = label, f
+    z = np.column_stack([np.clip(v.logit(x), -20, 20) for v, x in zip(fit, held)])
+    return Model(*fit, calibrate(z, hy))
+
+
+def co_train(tx: np.ndarray, mx: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, sure: float = SURE) -> Model:
+    """In memory. ``y``: 1, 0, or -1 for the pool; ``held``: labelled rows for calibration alone."""
+    train, pool = np.flatnonzero((y >= 0) & ~held), np.flatnonzero(y < 0)
+    views, share = (tx, mx), y[train].mean()
+
+    def choose(fit: list[View], given: tuple) -> Iterator[tuple]:
+        for k, x in enumerate(views if len(pool) else ()):
             p = sigmoid(fit[k].logit(x[pool]))
-            other = given[1 - k]
             most = max(2, len(pool) // (2 * rounds))
             for label, q, part in ((1, p, share), (0, 1 - p, 1 - share)):
-                new = [i for i in np.argsort(-q, kind="stable") if q[i] >= sure and pool[i] not in other][: max(1, round(most * part))]
-                other.update((int(pool[i]), label) for i in new)
-    text, meta = fit
-    z = np.column_stack([np.clip(v.logit(x[held]), -20, 20) for v, x in zip(fit, views)])
-    return Model(text, meta, calibrate(z, hy))
+                new = [i for i in np.argsort(-q, kind="stable") if q[i] >= sure and pool[i] not in given[1 - k]]
+                yield from ((k, int(pool[i]), label, views[1 - k][pool[i]]) for i in new[: max(1, round(most * part))])
+
+    return exchange(tuple(x[train] for x in views), y[train], tuple(x[held] for x in views), y[held].astype(float), [View(sums(x[~held])) for x in views], choose, rounds)
+
+
+def _arrays(batch: pa.RecordBatch | pa.Table, names: tuple = ("tx", "mx")) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(batch[c].to_pylist()), np.float32).reshape(batch.num_rows, -1) for c in names]
+
+
+def _sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows and sums of each view; one record a task."""
+    total = None
+    for b in batches:
+        if b.num_rows:
+            new = [sums(x) for x in _arrays(b)]
+            total = new if total is None else [a + c for a, c in zip(total, new)]
+    if total:
+        yield pa.record_batch([pa.array([x.tobytes()]) for x in total], names=["tx", "mx"])
+
+
+def _sure(batches: Iterable[pa.RecordBatch], fit: list[View], given: list[np.ndarray], sure: float) -> Iterator[pa.RecordBatch]:
+    """Rows that a view is sure of and hasn't yet given to the other."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, stratum = (column(b, c).to_numpy() for c in ("key", "stratum"))
+        for k, x in enumerate(_arrays(b)):
+            p = sigmoid(fit[k].logit(x))
+            new = ~np.isin(key, given[1 - k])
+            for label, q in ((1, p), (0, 1 - p)):
+                at = np.flatnonzero((q >= sure) & new)
+                yield pa.record_batch([pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), label, np.int32)), pa.array(stratum[at]), pa.array(key[at]), pa.array(q[at])], names=["view", "label", "stratum", "key", "q"])
 
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sub_batches(batches):
         tx, n = text_view(column(b, "text"))
         mx = meta_view(b)
-        ok = n > 0
-        yield pa.record_batch([column(b, "doc_id").filter(pa.array(ok)), column(b, "y").filter(pa.array(ok)), pa.array([x.tobytes() for x in tx[ok]], pa.binary()), pa.array([x.tobytes() for x in mx[ok]], pa.binary())], names=["doc_id", "y", "tx", "mx"])
+        stratum = bucket_of(column(b, "lang").to_pylist(), LANGS) * (SOURCES + 1) + bucket_of(column(b, "source").to_pylist(), SOURCES)
+        tx, mx = ([v.tobytes() for v in x] for x in (tx, mx))
+        key = np.array([hash_key(*k) for k in zip(column(b, "doc_id").to_pylist(), tx, mx)], np.uint64).view(np.int64)
+        made = pa.record_batch([pa.array(key), pa.array(stratum.astype(np.int32)), column(b, "y"), pa.array(tx, pa.binary()), pa.array(mx, pa.binary())], names=["key", "stratum", "y", "tx", "mx"])
+        yield made.filter(pa.array(n > 0))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, sure: float = SURE) -> Model | None:
-    """The model from a bounded sample; None if the labels don't hold both kinds."""
-    ship(docs.sparkSession)
+    """The model from a bounded sample of the labels and all unlabelled rows; None if the labels don't hold both kinds."""
+    spark = ship(docs.sparkSession)
     unit = lambda seed: F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
     given = need(labels, "doc_id", "quality").filter("doc_id is not null and quality in (0, 1)")
     some = given.filter(unit(3) < min(1.0, labelled / max(1, given.count()))).groupBy("doc_id").agg((F.avg("quality") > 0.5).cast("int").alias("y"))
-    rows = need(docs, "doc_id", "text", *META)
-    few = min(1.0, pool / max(1, rows.count()))
     # the sample is bounded by ``labelled``, so its side of the join may be sent to all tasks
-    chosen = rows.join(F.broadcast(some), "doc_id", "left").filter((F.col("y").isNotNull()) | (unit(5) < few))
-    got = chosen.select("doc_id", "text", *META, "y").mapInArrow(_features, "doc_id long, y int, tx binary, mx binary").toArrow()
-    order = np.argsort(np.array([hash_key(a, b, c) for a, b, c in zip(got["doc_id"].to_pylist(), got["tx"].to_pylist(), got["mx"].to_pylist())], np.uint64), kind="stable")
-    if not len(order):
-        return None
-    tx, mx = (np.frombuffer(b"".join(got[c].to_pylist()), np.float32).reshape(len(order), -1)[order] for c in ("tx", "mx"))
-    y = got["y"].fill_null(-1).to_numpy()[order]
-    held = (y >= 0) & (np.arange(len(y)) % 10 < 3)
-    if any(len(np.unique(y[(y >= 0) & part])) < 2 for part in (held, ~held)):
+    rows = need(docs, "doc_id", "text", *META).join(F.broadcast(some), "doc_id", "left")
+    schema, path = "key long, stratum int, y int, tx binary, mx binary", new_dir(spark, "features")
+    rows.select("doc_id", "text", *META, "y").mapInArrow(_features, schema).write.parquet(path)
+    try:
+        return _fitted(spark.read.schema(schema).parquet(path), pool, rounds, sure)
+    finally:
+        remove(path)
+
+
+def _fitted(features: DataFrame, pool: int, rounds: int, sure: float) -> Model | None:
+    got = features.filter("y is not null").toArrow()
+    order = np.argsort(got["key"].to_numpy().view(np.uint64), kind="stable")
+    y = got["y"].to_numpy()[order]
+    held = np.arange(len(y)) % 10 < 3
+    if any(len(np.unique(y[part])) < 2 for part in (held, ~held)):
         return None
-    return co_train(tx, mx, y, held, rounds, sure)
+    views = [x[order] for x in _arrays(got)]
+    rest = features.filter("y is null")
+    size = {r.stratum: r.n for r in rest.groupBy("stratum").agg(F.count("*").alias("n")).collect()}
+    n, parts = sum(size.values()), rest.select("tx", "mx").mapInArrow(_sums, "tx binary, mx binary").toArrow()
+    total = [sum((np.frombuffer(x, np.float64) for x in sorted(parts[c].to_pylist())), sums(v[~held])) for c, v in zip(("tx", "mx"), views)]
+    share, most = y[~held].mean(), max(2, min(n, pool) // (2 * rounds)) if rounds else 0
+    quota = [(s, label, max(LEAST, round(most * part * k / n))) for s, k in size.items() for label, part in ((1, float(share)), (0, 1 - float(share)))]
+    spark = features.sparkSession
+
+    def choose(fit: list[View], given: tuple) -> Iterator[tuple]:
+        if not n:
+            return
+        sent = spark.sparkContext.broadcast((fit, [np.array(list(g), np.int64) for g in given]))
+        found = rest.select("key", "stratum", "tx", "mx").mapInArrow(lambda it: _sure(it, *sent.value, sure), "view int, label int, stratum int, key long, q double")
+        # copies have one key and one rank
+        best = F.dense_rank().over(Window.partitionBy("view", "label", "stratum").orderBy(F.desc("q"), "key"))
+        ranked = found.withColumn("rank", best).filter(f"rank <= {max(q for *_, q in quota)}")
+        few = ranked.join(F.broadcast(spark.createDataFrame(quota, "stratum int, label int, quota int")), ["stratum", "label"]).filter("rank <= quota")
+        few = few.select("view", "label", "key").distinct()
+        other = F.when(F.col("view") == 0, F.col("mx")).otherwise(F.col("tx")).alias("x")
+        new = rest.join(F.broadcast(few), "key").select("view", "label", "key", other).dropDuplicates(["view", "key"]).toArrow()
+        for k, label, key, x in zip(*(new[c].to_pylist() for c in ("view", "label", "key", "x"))):
+            yield k, key, label, np.frombuffer(x, np.float32)
+
+    return exchange(tuple(v[~held] for v in views), y[~held], tuple(v[held] for v in views), y[held].astype(float), [View(t) for t in total], choose, rounds)
 
 
 def hash_key(doc_id: int | None, tx: bytes, mx: bytes) -> int:

@@ -202,6 +202,15 @@ def test_co_training_held_out(spark, documents, rng):
     assert np.allclose(again.text.b, model.text.b) and np.allclose(again.combine, model.combine)
 
 
+def test_rare_source_gets_pseudo_labels(spark, documents, rng):
+    """Unlabelled rows are candidates however few of all rows may be chosen."""
+    rows = [(i, junk(rng, 60) if i % 6 == 0 else prose(rng, 60), "en", "rare" if i in (1200, 1410) else f"s{i % 5}") for i in range(1500)]
+    labels = spark.createDataFrame([(i, int(i % 6 > 0)) for i in range(400)], "doc_id long, quality int")
+    model = cotrain.fitted(documents(rows), labels, pool=20)
+    at = int(np.flatnonzero(cotrain.one_hot(["rare"], cotrain.SOURCES)[0])[0]) - cotrain.SOURCES - 1
+    assert model.meta.b[at] < 0
+
+
 def test_each_view_learns_from_the_other():
     """Few labels, and a pool on which each view is sure of other rows."""
     rng = np.random.default_rng(0)
