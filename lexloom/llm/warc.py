@@ -4,7 +4,7 @@
 are packed up to ``partition_bytes`` (option; 64 MiB), a larger file is a partition of its own. Record headers are
 parsed first; predicates on record type and other headers are pushed down to that point, and the block
 of a record that fails them is passed over (by seeking in a plain file, by inflating and dropping in a gzipped
-one) and never decoded. ``http_status`` is tested after the HTTP head, before the body is decoded. Only the columns of
+one) and never decoded. ``http_status`` is tested on the HTTP head alone, before the body is read. Only the columns of
 the schema given to the reader are made, so leaving out ``payload`` and ``text`` leaves out their work.
 
 Spark 4.1 keeps the pushed filters with the relation: a DataFrame of a source that is used in two queries with other
@@ -21,7 +21,9 @@ that a task that ran twice counts once. Columns (by name, others are ignored): `
 
 Defined results: a missing header is null; an empty or missing block has length 0; header names are
 read in lower case, of repeated ones the last counts; a text that isn't valid in its charset has U+FFFD in place;
-an unknown charset is read as UTF-8; line ends in written header values become spaces; files that are
+an unknown charset is read as UTF-8; a body in a content encoding that can't be undone here (``br``; ``zstd`` without its
+module) has a null text, while its payload holds the bytes; a length that is negative or no number, and a record head of more than
+4 MiB, are damage; line ends in written header values become spaces; files that are
 empty give no rows; names that begin with ``_`` or ``.`` aren't read; a null ``record_type`` is written as ``resource``.
 """
 
@@ -61,6 +63,11 @@ from pyspark.sql.types import StructType
 
 from ..session import new_dir, ship
 
+try:
+    import zstandard
+except ModuleNotFoundError:  # bodies in this encoding then have a null text
+    zstandard = None
+
 SCHEMA = "record_id string, record_type string, target_uri string, date string, content_type string, content_length long, headers map<string,string>, http_status int, http_headers map<string,string>, payload binary, text string"
 HEADER = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type", "content_length": "content-length"}
 PARTITION_BYTES, CHUNK, BATCH_ROWS, BATCH_BYTES, EPOCH = 64 << 20, 1 << 20, 1024, 8 << 20, "1970-01-01T00:00:00Z"
@@ -129,6 +136,13 @@ class Bytes:
             need -= len(parts[-1])
         return b"".join(parts)
 
+    def until(self, mark: bytes, limit: int) -> bytes:
+        """All up to ``mark`` and with it; the next ``limit`` bytes if it isn't in them."""
+        while (end := self.buffer.find(mark, self.at, self.at + limit)) < 0 and len(self.buffer) - self.at < limit:
+            if not self._more():
+                raise Damaged("a record block ends early")
+        return self.take(limit if end < 0 else end + len(mark) - self.at)
+
     def skip(self, n: int) -> None:
         have = min(n, len(self.buffer) - self.at)
         self.at += have
@@ -203,15 +217,31 @@ def unchunked(body: bytes) -> bytes:
     return b"".join(out)
 
 
-def decoded(body: bytes, head: dict[str, str]) -> str:
+def inflated(body: bytes, coding: str) -> bytes | None:
+    """The body without a content encoding; None if that can't be undone here."""
+    if coding in ("gzip", "x-gzip", "deflate"):
+        for bits in (47, -15):  # some servers send deflate without its frame
+            try:
+                return zlib.decompress(body, bits)
+            except zlib.error:
+                continue
+        return body  # already decoded by the crawler, as often
+    if coding == "zstd" and zstandard is not None:
+        try:
+            return zstandard.ZstdDecompressor().decompressobj().decompress(body)
+        except zstandard.ZstdError:
+            return body
+    return body if coding in ("", "identity") else None
+
+
+def decoded(body: bytes, head: dict[str, str]) -> str | None:
     """The text of an HTTP body or a block."""
     if "chunked" in head.get("transfer-encoding", "").lower():
         body = unchunked(body)
-    if head.get("content-encoding", "").lower() in ("gzip", "x-gzip", "deflate"):
-        try:
-            body = zlib.decompress(body, 47)
-        except zlib.error:
-            pass  # already decoded by the crawler, as often
+    for coding in reversed(head.get("content-encoding", "").lower().split(",")):
+        body = inflated(body, coding.strip())
+        if body is None:
+            return None
     _, _, charset = head.get("content-type", "").lower().partition("charset=")
     try:
         return body.decode(charset.split(";")[0].strip(" \"'") or "utf-8", "replace")
@@ -274,10 +304,10 @@ class WarcReader(DataSourceReader):
         if not version.startswith(b"WARC/"):
             raise Damaged(f"no record begins with {version[:20]!r}")
         header = fields(rest)
-        try:
-            length = int(header.get("content-length", 0))
-        except ValueError as error:
-            raise Damaged(f"a record of length {header['content-length']!r}") from error
+        stated = header.get("content-length", "0")
+        if not (stated.isascii() and stated.isdigit()):
+            raise Damaged(f"a record of length {stated!r}")
+        length = int(stated)
 
         def get(name: str):
             return length if name == "content_length" else header.get(HEADER[name])
@@ -289,16 +319,22 @@ class WarcReader(DataSourceReader):
         values: dict = {k: get(k) for k in HEADER if k in wanted}
         values["headers"] = list(header.items())
         if self.on_http or wanted & {"http_status", "http_headers", "payload", "text"}:
-            block = stream.take(length)
-            http, status, body = {}, None, block
-            if block[:5] == b"HTTP/" and (get("content_type") or "").startswith("application/http"):
-                top, _, body = block.partition(b"\r\n\r\n")
-                first, _, lines = top.partition(b"\r\n")
-                http, code = fields(lines), first.split(b" ")[1:2]
+            http, status, top = {}, None, b""
+            if (get("content_type") or "").startswith("application/http"):
+                top = stream.until(b"\r\n\r\n", min(length, 4 * CHUNK))
+            left = length - len(top)
+            if top[:5] == b"HTTP/":
+                first, _, lines = top.removesuffix(b"\r\n\r\n").partition(b"\r\n")
+                http, code, top = fields(lines), first.split(b" ")[1:2], b""
                 status = int(code[0]) if code and code[0].isdigit() else None
             if not all(test(f, lambda _: status) is True for f in self.on_http):
+                stream.skip(left)
                 return None
             values |= {"http_status": status, "http_headers": list(http.items())}
+            if wanted & {"payload", "text"}:
+                body = top + stream.take(left)
+            else:
+                stream.skip(left)
             if "payload" in wanted:
                 values["payload"] = body
             if "text" in wanted:

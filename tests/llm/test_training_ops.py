@@ -160,6 +160,34 @@ def test_damaged_files(spark, tmp_path):
         warc.read_warc(spark, str(tmp_path)).count()
 
 
+def test_lengths_that_lie(spark, tmp_path):
+    """A negative length would lead back to the record's own head."""
+    whole = warc.record({"record_type": "resource", "payload": b"x" * 10})
+    for i, length in enumerate((b"-54", b"1e3", b"", b"9" * 30)):
+        (tmp_path / f"{i}.warc").write_bytes(whole + b"WARC/1.1\r\nContent-Length: " + length + b"\r\n\r\nabc\r\n\r\n")
+    assert warc.read_warc(spark, str(tmp_path), mode="permissive").count() == 4
+    with pytest.raises(Exception, match="Damaged"):
+        warc.read_warc(spark, str(tmp_path / "0.warc")).count()
+
+
+def test_status_is_tested_before_the_body(tmp_path, monkeypatch):
+    from pyspark.sql.datasource import EqualTo
+
+    class Schema:
+        names = ["target_uri", "text", "http_headers"]
+
+    head = b"HTTP/1.1 %d X\r\nSet-Cookie: a\r\nSet-Cookie: b\r\n\r\n"
+    rows = [{"record_type": "response", "content_type": "application/http", "target_uri": str(c), "payload": head % c + b"y" * 50_000} for c in (404, 200, 500)]
+    (tmp_path / "a.warc").write_bytes(b"".join(map(warc.record, rows)))
+    r = warc.PushingReader(Schema, {"path": str(tmp_path)})
+    assert list(r.pushFilters([EqualTo(("http_status",), 200)])) == []
+    taken = []
+    monkeypatch.setattr(warc.Bytes, "take", lambda self, n, real=warc.Bytes.take: (taken.append(n), real(self, n))[1])
+    out = [row for p in r.partitions() for b in r.read(p) for row in b.to_pylist()]
+    assert [(o["target_uri"], len(o["text"]), dict(o["http_headers"])["set-cookie"]) for o in out] == [("200", 50_000, "b")]
+    assert sorted(taken)[-2:] == [len(head % 200), 50_000]
+
+
 def test_write_and_read(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a", "<p>é</p>"), (None, None, None), (2, "http://b\r\nX: y", "z" * 3_000_000), (2, "http://b", "")], "page_id long, url string, html string")
     path = warc.write_warc(warc.page_records(pages), str(tmp_path / "w"))
@@ -171,7 +199,7 @@ def test_write_and_read(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
 
 
-@pytest.mark.parametrize(("body", "head", "want"), [(b"4\r\nab c\r\n0\r\n\r\n", {"transfer-encoding": "chunked"}, "ab c"), (gzip.compress(b"x"), {"content-encoding": "gzip"}, "x"), (b"x", {"content-encoding": "gzip"}, "x"), (b"\xff", {}, "�"), (b"a", {"content-type": "text/html; charset=nonsense"}, "a")])
+@pytest.mark.parametrize(("body", "head", "want"), [(b"4\r\nab c\r\n0\r\n\r\n", {"transfer-encoding": "chunked"}, "ab c"), (gzip.compress(b"x"), {"content-encoding": "gzip"}, "x"), (b"x", {"content-encoding": "gzip"}, "x"), (b"\xff", {}, "�"), (b"a", {"content-type": "text/html; charset=nonsense"}, "a"), (b"\x0b\x02", {"content-encoding": "br"}, None), (warc.zstandard.compress(b"zz"), {"content-encoding": "zstd"}, "zz"), (gzip.compress(gzip.compress(b"x")), {"content-encoding": "gzip, gzip"}, "x")])
 def test_bodies(body, head, want):
     assert warc.decoded(body, head) == want
 
