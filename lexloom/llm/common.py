@@ -31,6 +31,19 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in columns))
 
 
+def kind(df: DataFrame, name: str) -> str:
+    """Type of a column; ids pass through as they are, of any type."""
+    return next(t for c, t in df.dtypes if c == name)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` hasn't, in any case of letters."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def sub_batches(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SUB_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds about ``limit`` bytes in each; no row is cut or lost."""
     for batch in batches:

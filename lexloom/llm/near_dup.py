@@ -1,18 +1,24 @@
 """Near-duplicate groups by MinHash and an LSH forest.
 
-Every document's word shingles give a MinHash signature. The forest holds ``TREES`` orders of the
-signature: each tree sorts the rows by its own run of signature values, and all rows that share the
-first ``DEPTH`` values in a tree, a region, are candidates for each other, however many they are. In a
-region of more than ``REGION`` rows every row is compared with the region's first row, and a row that
-fails this is compared with all rows of the region, in blocks of signatures; for grouping that equals
-comparing all pairs. Candidates are verified by the share of equal signature values, and connected
-pairs form groups.
+Every document's word shingles give a MinHash signature of ``VALUES`` values. The forest holds several orders of
+the signature's values; rows whose longest common prefix in an order reaches the depth of their region are candidates for
+each other. The depth adapts to the region. All rows begin at depth 2 in 16 orders. A region of at most
+``REGION`` rows has all its pairs compared. A larger one compares every row with its first row, and those that
+fail with all rows of the region, in blocks of signatures, which finds the same groups as all pairs would. Where
+that takes more than ``WORK`` comparisons, the region's rows go deeper, in more orders the deeper they go
+(``LEVELS``), so that little is lost: a pair of similarity 0.6 shares a region of depth 4 with a
+probability of 0.9999. The last level compares whatever is left. Candidates are verified by the share of equal
+signature values, and connected pairs form groups.
+
+Sizes of regions come from partial counts, never from a window over a region; work of a large region is spread by
+blocks, the star of a large group by adaptive joins.
 
 Defined results: a text without any word (null, empty, punctuation) is no copy of anything, a
 group of its own. Rows repeated with one ``doc_id`` are copies; one row of each group is kept, the
 one with the least ``doc_id`` (nulls last). ``group_id`` is the least ``doc_id`` of the group, null
 if all are null. A text of fewer than ``SHINGLE`` words has one shingle, the whole text. Node ids
-are 64-bit hashes of the signature; two of 10^10 documents meet by chance a few times in all.
+are 64-bit hashes of the signature; two of 10^10 documents meet by chance a few times in all. ``doc_id`` may be
+of any type that can be ordered; extra columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -21,21 +27,30 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_dir, remove, ship, written
-from .common import column, hashes, mix, need, plain_words, shingles, starts_inside, sub_batches
+from .common import M1, column, fresh, hashes, kind, mix, need, plain_words, shingles, starts_inside, sub_batches
 
-VALUES, TREES, DEPTH, REGION, SHINGLE, THRESHOLD = 128, 16, 2, 32, 3, 0.55
+VALUES, REGION, SHINGLE, THRESHOLD = 128, 32, 3, 0.55
+#: Depth and number of orders of each level, and the comparisons of one region beyond which its rows go to the next.
+LEVELS, WORK = ((2, 16), (4, 64), (8, 128), (16, 128)), 1 << 26
 #: Signatures of a large region that are compared at once, and those of one side in a tile.
 BLOCK, TILE = 4096, 256
-WIDTH = VALUES // TREES
 _rng = np.random.default_rng(20240501)
 _XOR = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1)
 
 
+def orders(depth: int, number: int) -> np.ndarray:
+    """First values of each order. Sixteen orders go on as they are from level to level, the others are drawn by level."""
+    rng = np.random.default_rng([depth, number])
+    own = np.arange(VALUES).reshape(16, -1)[:, :depth] if depth <= VALUES // 16 else np.empty((0, depth), int)
+    more = np.concatenate([rng.permutation(VALUES).reshape(-1, depth) for _ in range(number * depth // VALUES + 1)])
+    return np.concatenate([own, more])[:number]
+
+
 def signatures(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Signature of each text as 128 16-bit values, and its number of shingles (0: no signature)."""
     h, offsets, _ = plain_words(texts)
@@ -65,7 +80,7 @@ def _sign(batches: Iterable[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
         raw = sig.view(f"V{VALUES * 2}").ravel()
         value = pa.array([x.tobytes() if c else None for x, c in zip(raw, count)], pa.binary())
         nid = hashes(value.fill_null(b"")).view(np.int64)
-        yield pa.record_batch([column(b, "doc_id"), column(b, "thash"), pa.array(nid, mask=count == 0), value], names=["doc_id", "thash", "nid", "sig"])
+        yield pa.record_batch([column(b, "doc_id"), column(b, "thash"), column(b, "rid"), pa.array(nid, mask=count == 0), value], names=["doc_id", "thash", "rid", "nid", "sig"])
 
 
 def _verify(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -86,11 +101,24 @@ def _pair(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def regions(nodes: DataFrame) -> DataFrame:
-    """Tree, prefix of ``DEPTH`` values, node and size, for regions of two rows and more."""
-    keys = F.array(*(F.struct(F.lit(t).cast("tinyint").alias("tree"), F.expr(f"substring(sig, {t * WIDTH * 2 + 1}, {DEPTH * 2})").alias("prefix")) for t in range(TREES)))
-    rows = nodes.select("nid", F.inline(keys))
-    return rows.select("tree", "prefix", "nid", F.count("*").over(Window.partitionBy("tree", "prefix")).alias("n")).filter("n > 1")
+def _keys(batches: Iterable[pa.RecordBatch], depth: int, number: int) -> Iterator[pa.RecordBatch]:
+    of = orders(depth, number)
+    for b in batches:
+        if b.num_rows:
+            sig = np.frombuffer(b"".join(column(b, "sig").to_pylist()), np.uint16).reshape(-1, VALUES).astype(np.uint64)
+            key = np.tile(mix(np.arange(1, number + 1, dtype=np.uint64)), (len(sig), 1))
+            for k in range(depth):
+                key = mix(key * M1 + sig[:, of[:, k]])
+            flat = pa.array(key.view(np.int64).ravel())
+            yield pa.record_batch([column(b, "nid"), pa.ListArray.from_arrays(np.arange(len(sig) + 1, dtype=np.int32) * number, flat)], names=["nid", "keys"])
+
+
+def regions(nodes: DataFrame, depth: int, number: int) -> DataFrame:
+    """``key, nid, n, head`` of the rows of regions of two rows and more: size and first row of the region."""
+    rows = written(nodes.select("nid", "sig").mapInArrow(lambda it: _keys(it, depth, number), "nid long, keys array<long>"), "keys")
+    rows = rows.select("nid", F.explode("keys").alias("key"))
+    sizes = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("nid").alias("head")).filter("n > 1"), "sizes")
+    return written(rows.join(sizes, "key"), "regions")
 
 
 def alike(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,34 +145,45 @@ def _blocks(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.Record
             yield pa.record_batch([pa.array(np.minimum(x, y)[own]), pa.array(np.maximum(x, y)[own])], names=["a", "b"])
 
 
-def _blocked(rows: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-    """Rows ``(tree, prefix, nid)`` with their signatures, about ``BLOCK`` to a list."""
-    region = Window.partitionBy("tree", "prefix")
-    rows = rows.withColumn("of", F.pmod(F.xxhash64("nid", F.lit(name)), F.ceil(F.count("*").over(region) / BLOCK)))
+def _blocked(rows: DataFrame, nodes: DataFrame, name: str, size: str) -> DataFrame:
+    """Rows ``(key, nid)`` with their signatures, about ``BLOCK`` of a region's ``size`` to a list."""
+    rows = rows.withColumn("of", F.pmod(F.xxhash64("nid", F.lit(name)), F.ceil(F.col(size) / BLOCK)))
     pair = F.collect_list(F.struct("nid", "sig"))
-    return rows.join(nodes, "nid").groupBy("tree", "prefix", F.col("of").alias(f"i{name}")).agg(pair.alias("p")).select("tree", "prefix", f"i{name}", F.col("p.nid").alias(name), F.col("p.sig").alias(f"s{name}"))
-
-
-def _against_all(failed: DataFrame, large: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Verified pairs of each failed row with all rows of its region; work is spread by pairs of blocks."""
-    large = large.join(failed.select("tree", "prefix").distinct(), ["tree", "prefix"], "left_semi")
-    x, y = written(_blocked(failed, nodes, "x"), "failed"), written(_blocked(large, nodes, "y"), "members")
-    both = x.select("tree", "prefix", "ix").join(y.select("tree", "prefix", "iy"), ["tree", "prefix"])
-    both = both.join(x, ["tree", "prefix", "ix"]).join(y, ["tree", "prefix", "iy"]).select("x", "sx", "y", "sy")
-    return both.mapInArrow(lambda it: _blocks(it, int(np.ceil(threshold * VALUES))), "a long, b long").distinct()
-
-
-def similar(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified pairs ``(a, b)`` of nodes that connect all similar ones of each region."""
-    found = written(regions(nodes), "regions")
-    small, large = found.filter(f"n <= {REGION}"), found.filter(f"n > {REGION}")
-    ids = small.groupBy("tree", "prefix").agg(F.collect_list("nid").alias("ids"))
-    pairs = ids.select(F.posexplode("ids").alias("i", "x"), "ids").select("x", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("y")).select(*_pair(F.col("x"), F.col("y")))
-    heads = large.withColumn("head", F.min("nid").over(Window.partitionBy("tree", "prefix"))).filter("nid <> head")
-    pairs = pairs.union(heads.select(*_pair(F.col("nid"), F.col("head")))).distinct()
-    edges = written(_verified(pairs, nodes, threshold), "edges")
-    failed = heads.select("tree", "prefix", "nid", *_pair(F.col("nid"), F.col("head"))).join(edges, ["a", "b"], "left_anti").select("tree", "prefix", "nid")
-    return edges.union(_against_all(written(failed, "apart"), large, nodes, threshold))
+    return rows.join(nodes, "nid").groupBy("key", F.col("of").alias(f"i{name}")).agg(pair.alias("p")).select("key", f"i{name}", F.col("p.nid").alias(name), F.col("p.sig").alias(f"s{name}"))
+
+
+def against_all(failed: DataFrame, members: DataFrame, settled: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Verified pairs of each failed row with all rows of its region, for the regions ``settled``; work is spread by pairs of blocks."""
+    x = written(_blocked(failed.join(settled, "key"), nodes, "x", "f"), "failed")
+    y = written(_blocked(members.join(settled.select("key"), "key"), nodes, "y", "n"), "members")
+    both = x.select("key", "ix").join(y.select("key", "iy"), "key")
+    both = both.join(x, ["key", "ix"]).join(y, ["key", "iy"]).select("x", "sx", "y", "sy")
+    return written(both.mapInArrow(lambda it: _blocks(it, int(np.ceil(threshold * VALUES))), "a long, b long").distinct(), "edges")
+
+
+def similar(nodes: DataFrame, threshold: float = THRESHOLD, work: int = WORK) -> DataFrame:
+    """Verified pairs ``(a, b)`` of nodes (``nid, sig``) that connect all similar ones of each region."""
+    out, at = None, nodes
+    for level, (depth, number) in enumerate(LEVELS):
+        found = regions(at, depth, number)
+        small, large = found.filter(f"n <= {REGION}"), found.filter(f"n > {REGION} and nid <> head")
+        ids = small.groupBy("key").agg(F.collect_list("nid").alias("ids"))
+        pairs = ids.select(F.posexplode("ids").alias("i", "x"), "ids").select("x", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("y")).select(*_pair(F.col("x"), F.col("y")))
+        pairs = pairs.union(large.select(*_pair(F.col("nid"), F.col("head")))).distinct()
+        edges = written(_verified(pairs, nodes, threshold), "edges")
+        out = edges if out is None else out.union(edges)
+        failed = written(large.select("key", "nid", "n", *_pair(F.col("nid"), F.col("head"))).join(edges, ["a", "b"], "left_anti").select("key", "nid", "n"), "apart")
+        sizes = written(failed.groupBy("key").agg(F.count("*").alias("f"), F.first("n").alias("n")), "left")
+        if sizes.isEmpty():
+            break
+        last = level == len(LEVELS) - 1
+        deeper = F.lit(False) if last else F.col("f").cast("double") * F.col("n") > work
+        out = out.union(against_all(failed.drop("n"), found.select("key", "nid", "n"), sizes.filter(~deeper).select("key", "f"), nodes, threshold))
+        crowded = sizes.filter(deeper).select("key")
+        if last or crowded.isEmpty():
+            break
+        at = written(nodes.join(found.join(crowded, "key").select("nid").distinct(), "nid"), "deeper")
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -159,10 +198,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         if not large:
             both = both.filter("v < u")
-        m = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u"))).alias("m")
-        both = both.select("u", "v", m)
-        out = both.filter("v > u").select(*_pair(F.col("v"), F.col("m"))) if large else both.select(*_pair(F.col("v"), F.col("m"))).union(both.select(*_pair(F.col("u"), F.col("m"))))
-        return out.filter("a <> b").distinct()
+        m = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        if large:
+            return both.filter("v > u").join(m, "u").select(*_pair(F.col("v"), F.col("m"))).filter("a <> b").distinct()
+        own = m.select(*_pair(F.col("u"), F.col("m")))
+        return both.join(m, "u").select(*_pair(F.col("v"), F.col("m"))).union(own).filter("a <> b").distinct()
 
     for _ in range(rounds):
         old, path = path, new_dir(spark, "stars")
@@ -182,17 +222,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
 
     ``thash`` is Spark's ``xxhash64(text)``, which tells rows of one ``doc_id`` apart.
     """
-    spark = ship(docs.sparkSession)
-    rows = need(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("thash"), "text")
-    signed = written(rows.mapInArrow(lambda it: _sign(it, shingle), "doc_id long, thash long, nid long, sig binary"), "signed")
-    nodes = signed.filter("nid is not null").groupBy("nid").agg(F.first("sig").alias("sig"))
+    ship(docs.sparkSession)
+    rows = need(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("thash"), F.monotonically_increasing_id().alias("rid"), "text")
+    signed = written(rows.mapInArrow(lambda it: _sign(it, shingle), f"doc_id {kind(docs, 'doc_id')}, thash long, rid long, nid long, sig binary"), "signed")
+    some = signed.filter("nid is not null")
+    nodes = written(some.groupBy("nid").agg(F.first("sig").alias("sig")), "nodes")
     labels = components(written(similar(nodes, threshold), "pairs"))
-    named = signed.filter("nid is not null").select("doc_id", "thash", "nid").join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-    group = Window.partitionBy("label")
-    first = F.row_number().over(group.orderBy(F.col("doc_id").asc_nulls_last(), "thash"))
-    named = named.select("doc_id", "thash", F.min("doc_id").over(group).alias("group_id"), F.count("*").over(group).alias("group_size"), (first == 1).alias("kept"))
-    alone = signed.filter("nid is null").select("doc_id", "thash", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    return named.union(alone)
+    named = written(some.drop("sig").join(labels, "nid", "left").select("doc_id", "thash", "rid", F.coalesce("label", "nid").alias("label")), "named")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "thash", "rid"))
+    groups = named.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"), first.alias("first"))
+    single, several = groups.filter("group_size = 1"), written(groups.filter("group_size > 1"), "groups")
+    named = named.join(several, "label").select("doc_id", "thash", "group_id", "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"))
+    alone = single.select("first.doc_id", "first.thash").union(signed.filter("nid is null").select("doc_id", "thash"))
+    return named.union(alone.select("doc_id", "thash", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -201,18 +243,19 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     The kept keys are joined to the documents. Only where identical rows repeat do these few rows
     take a de-duplication of their own.
     """
-    groups = written(near_duplicates(docs, threshold).select(F.col("doc_id").alias("__id"), F.col("thash").alias("__h"), F.col("kept").alias("__kept")), "kept")
-    keys = groups.groupBy("__id", "__h").agg(F.max("__kept").alias("__kept"), F.count("*").alias("__n")).filter("__kept")
     own = docs.columns
+    key = fresh(docs, "h")
+    groups = written(near_duplicates(docs, threshold).select(F.col("doc_id").alias("i"), F.col("thash").alias("h"), "kept"), "kept")
+    keys = written(groups.groupBy("i", "h").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("kept").select("i", "h", "n"), "keys")
 
     def of(some: DataFrame) -> DataFrame:
-        same = docs["doc_id"].eqNullSafe(some["__id"]) & (F.xxhash64(docs["text"]) == some["__h"])
-        return docs.join(some.select("__id", "__h"), same, "left_semi")
+        same = docs["doc_id"].eqNullSafe(some["i"]) & (F.xxhash64(docs["text"]) == some["h"])
+        return docs.join(some.select("i", "h"), same, "left_semi")
 
-    out, again = of(keys.filter("__n = 1")), keys.filter("__n > 1")
-    if again.isEmpty():
+    out, repeated = of(keys.filter("n = 1")), keys.filter("n > 1")
+    if repeated.isEmpty():
         return out
-    twice = of(again).withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"])
+    twice = of(repeated).withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", key])
     return out.union(twice.select(*(F.col(f"`{c}`") for c in own)))
 
 

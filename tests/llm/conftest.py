@@ -47,6 +47,6 @@ def odd(documents):
     df = documents([(1, None, None, None), (None, "a short text", "en", "s"), (2, "", "en", "s"), (3, " \n\t ", "en", None), (4, "!!! ...", None, "s"), (5, "the same row here", "en", "s"), (5, "the same row here", "en", "s"), (6, long, "en", "s"), (7, "日本語 ünïcödé \U0001f600", "fr", "t")])
     from pyspark.sql import functions as F
 
-    for name in ("n", "tokens", "label", "__id", "a", "score", "group_id", "y", "word"):
+    for name in ("n", "tokens", "label", "__id", "a", "score", "group_id", "y", "word", "__h", "__kept", "h", "i", "key", "kept", "thash", "rid", "lang_n", "f_lang", "block"):
         df = df.withColumn(name, F.lit("x"))
     return df

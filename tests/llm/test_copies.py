@@ -81,8 +81,9 @@ def test_components_by_union_find(spark):
     assert near_dup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_crowded_regions_lose_no_pair(spark):
-    """Half of all values are common to the corpus, so that regions are large at every depth but the last."""
+@pytest.mark.parametrize("work", [near_dup.WORK, 20_000])
+def test_crowded_regions_lose_no_pair(spark, work):
+    """Half of all values are common to the corpus, so that regions are large; with little work allowed for one, rows go deeper."""
     rng, n = np.random.default_rng(2), 1500
     sig = rng.integers(0, 1 << 16, (n, near_dup.VALUES), dtype=np.uint16)
     common = rng.integers(0, 1 << 16, near_dup.VALUES, dtype=np.uint16)
@@ -95,13 +96,52 @@ def test_crowded_regions_lose_no_pair(spark):
     for k in range(near_dup.VALUES):
         same += sig[:, k, None] == sig[:, k]
     near = {(i, j) for i, j in zip(*np.nonzero(same >= least)) if i < j}
-    nodes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sig)], "nid long, sig binary")
-    label = {r.nid: r.label for r in near_dup.components(near_dup.similar(nodes)).collect()}
+    label = {r.nid: r.label for r in near_dup.components(near_dup.similar(nodes_of(spark, sig), work=work)).collect()}
     found = {(i, j) for i, j in near if label.get(i, i) == label.get(j, j)}
     assert len(near) > 100 and len(found) >= 0.98 * len(near)
     assert not any(i in label for i in range(300, n)) and not set(label.values()) & set(range(300, n))
 
 
+def nodes_of(spark, sig):
+    return spark.createDataFrame(pa.table({"nid": np.arange(len(sig)), "sig": pa.array([x.tobytes() for x in sig], pa.binary())}))
+
+
+def test_hot_prefix_of_rows_unlike_each_other(spark, monkeypatch):
+    """50,000 rows share the first two values; half of them are copies of the first row, a few of the others have a copy of their own."""
+    rng, n = np.random.default_rng(3), 50_000
+    sig = rng.integers(0, 1 << 16, (n, near_dup.VALUES), dtype=np.uint16)
+    sig[: n // 2] = np.where(rng.random((n // 2, near_dup.VALUES)) < 0.85, sig[0], sig[: n // 2])
+    for i in range(n - 100, n):
+        sig[i] = np.where(rng.random(near_dup.VALUES) < 0.7, sig[i - 200], sig[i])
+    sig[:, :2] = sig[0, :2]
+    work = []
+
+    def counted(failed, members, settled, *rest, real=near_dup.against_all):
+        sizes = members.groupBy("key").count()
+        work.append(settled.join(sizes, "key").selectExpr("coalesce(sum(f * count), 0)").first()[0])
+        return real(failed, members, settled, *rest)
+
+    monkeypatch.setattr(near_dup, "against_all", counted)
+    label = {r.nid: r.label for r in near_dup.components(near_dup.similar(nodes_of(spark, sig))).collect()}
+    assert sum(work) < 1 << 27
+    assert sum(label.get(i) == 0 for i in range(1, n // 2)) >= 0.999 * (n // 2 - 1)
+    assert sum(label.get(i) == i - 200 for i in range(n - 100, n)) >= 99 and len(label) <= n // 2 + 200
+
+
+def test_identical_rows_and_any_names(spark, documents):
+    """Extra columns may be called as the operator's own; ids may be strings."""
+    from pyspark.sql import functions as F
+
+    docs = documents([(1, "the same row here")] * 3 + [(2, "another text of its own")])
+    for name in ("__h", "h", "H_", "__id", "kept"):
+        docs = docs.withColumn(name, F.lit("a long value of the user's own"))
+    docs = docs.withColumn("doc_id", F.concat(F.lit("id-"), "doc_id"))
+    out = near_dup.one_of_each(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == ["id-1", "id-2"]
+    assert {r.h for r in out.collect()} == {"a long value of the user's own"}
+    assert sorted((r.group_id, r.kept) for r in near_dup.near_duplicates(docs).collect()) == [("id-1", False), ("id-1", False), ("id-1", True), ("id-2", True)]
+
+
 def test_signature_estimates_similarity():
     rng = random.Random(1)
     a = prose(rng, 400)
