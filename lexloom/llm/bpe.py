@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import M1, column, mix, need, ragged_take, sub_batches
+from .common import M1, column, kind, mix, need, ragged_take, sub_batches
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens in each of the memo's two generations; a full young one becomes the old one.
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> D
     ``round_trip`` tells whether the decoded tokens are the text's bytes again.
     """
     v = ship(docs.sparkSession).sparkContext.broadcast(Vocabulary(path, pattern))
-    return need(docs, "doc_id", "text").mapInArrow(lambda it: _encode(it, v.value), "doc_id long, tokens array<int>, n_tokens long, round_trip boolean")
+    return need(docs, "doc_id", "text").mapInArrow(lambda it: _encode(it, v.value), f"doc_id {kind(docs, 'doc_id')}, tokens array<int>, n_tokens long, round_trip boolean")
 
 
 def decode(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import new_dir, remove, ship
-from .common import column, hashes, need, segment_sum, sub_batches, words
+from .common import column, hashes, kind, need, segment_sum, sub_batches, words
 
 LABELLED, POOL, LEAST, ROUNDS, SURE, KEEP, BUCKETS = 8000, 8000, 2, 4, 0.95, 0.3, 256
 META = ("lang", "source", "n_chars")
@@ -307,7 +307,7 @@ def _filter(batches: Iterable[pa.RecordBatch], model: Model | None, keep: float,
 def scored(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:
     """``doc_id, text_score, meta_score, score, keep`` of every row of ``docs``."""
     sent = ship(docs.sparkSession).sparkContext.broadcast(model)
-    return need(docs, "doc_id", "text", *META).mapInArrow(lambda it: _table(it, sent.value, keep), "doc_id long, text_score double, meta_score double, score double, keep boolean")
+    return need(docs, "doc_id", "text", *META).mapInArrow(lambda it: _table(it, sent.value, keep), f"doc_id {kind(docs, 'doc_id')}, text_score double, meta_score double, score double, keep boolean")
 
 
 def kept(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import column, need, sub_batches
+from .common import column, kind, need, sub_batches
 
 DIMENSION, GRAM, PER_LANGUAGE, MIN_COSINE, HALF = 1024, 3, 1000, 0.25, 200
 SUB = 1 << 20
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, protos: dict[str, np.ndarray], dimension: int = DI
     ship(docs.sparkSession)
     names, matrix = list(protos), np.array(list(protos.values()), np.float32)
     settings = (dimension, gram, min_cosine, half, "text")
-    return need(docs, "doc_id", "text").mapInArrow(lambda it: _score(it, names, matrix, settings), "doc_id long, language string, cosine double, margin double")
+    return need(docs, "doc_id", "text").mapInArrow(lambda it: _score(it, names, matrix, settings), f"doc_id {kind(docs, 'doc_id')}, language string, cosine double, margin double")
 
 
 def _filter(batches: Iterable[pa.RecordBatch], names: list[str], protos: np.ndarray, settings: tuple, at: int) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import M1, column, mix, need, segment_sum, sub_batches, words
+from .common import M1, column, kind, mix, need, segment_sum, sub_batches, words
 
 VOCABULARY, DELTA, MARK, WIDE = "/opt/tokenizers/piece_bpe_32k.model", 0.5, "▁", 48
 
@@ -192,7 +192,7 @@ def score(docs: DataFrame, path: str = VOCABULARY, scores: np.ndarray | None = N
     if scores is None:
         scores = corpus_scores(docs, path, delta) if ranked(path) else own
     lattice = spark.sparkContext.broadcast(Lattice(ordinary, of_byte, scores))  # as large as the vocabulary
-    return need(docs, "doc_id", "text").mapInArrow(lambda it: _score(it, lattice.value), "doc_id long, n_words long, log_prob double, bits_per_char double")
+    return need(docs, "doc_id", "text").mapInArrow(lambda it: _score(it, lattice.value), f"doc_id {kind(docs, 'doc_id')}, n_words long, log_prob double, bits_per_char double")
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

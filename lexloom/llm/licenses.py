@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import column, need, plain_words, shingles, starts_inside, sub_batches
+from .common import column, kind, need, plain_words, shingles, starts_inside, sub_batches
 
 LINES, VARIANTS, GRAMS, L1, STEPS, FALSE, CONFIRM = 3000, 40, 3, 2e-4, 200, 0.05, 0.5
 
@@ -255,7 +255,7 @@ def _scan(batches: Iterable[pa.RecordBatch], model: Classifier) -> Iterator[pa.R
 def found(docs: DataFrame, model: Classifier) -> DataFrame:
     """``doc_id, paragraph, family, probability, similarity, confirmed`` of each paragraph with licence text."""
     sent = ship(docs.sparkSession).sparkContext.broadcast(model)
-    return need(docs, "doc_id", "text").mapInArrow(lambda it: _scan(it, sent.value), "doc_id long, paragraph long, family string, probability double, similarity double, confirmed boolean")
+    return need(docs, "doc_id", "text").mapInArrow(lambda it: _scan(it, sent.value), f"doc_id {kind(docs, 'doc_id')}, paragraph long, family string, probability double, similarity double, confirmed boolean")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
