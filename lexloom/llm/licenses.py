@@ -1,18 +1,26 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line. A sparse multinomial logistic regression (proximal gradient steps with an L1
+A paragraph is a block of lines: it ends at a blank line and after a line that ends a sentence; marks of comments
+before a line (``//``, ``#``, ``*`` and others) don't count. A paragraph of more than ``WINDOW`` words is judged in windows of so many words,
+each beginning ``STRIDE`` words after the one before, so that a notice in a text of one line is seen like any other. A sparse multinomial
+logistic regression (proximal gradient steps with an L1
 penalty) over the presence of word 1- to 3-grams tells licence families, other licence text
 (``unknown``) and ordinary text (``none``) apart. It is trained here on variants of the notices below (cut,
-with words lost and with ordinary words around) and on ordinary lines. Two held-out parts
+with words lost and with ordinary words around) and on ordinary windows. Two held-out parts
 calibrate it: a temperature on unseen variants, and the least probability of a known family, so that no more
-than ``FALSE`` of the notices of licences that no family covers pass as a known one. A prediction is
-confirmed if the paragraph and a template of the family share enough word n-grams; one that isn't is unknown.
+than ``FALSE`` of the notices of licences that no family covers pass as a known one. A predicted family is
+confirmed if the window and one of its templates share enough word n-grams: the share ``CONFIRM`` of the shorter one's, which counts
+as ``LEAST`` n-grams at least unless the template itself is shorter. A prediction that isn't confirmed is refuted: the window is then unknown or
+ordinary text, by the probabilities of these two.
 
-Ordinary lines for training are a bounded sample of the documents (``LINES`` lines, by a hash of the text)
-without those that share a word triple with a notice. The scan covers every line of every text.
+Windows with licence text that follow each other, with no more than one paragraph between them, are one finding if they are of one family, or one of them is
+unknown or no more than a reservation of rights: a licence is reported once, from its title to its disclaimer, with the family, probability and similarity of its surest window.
 
-Defined results: null and empty texts give no rows; repeated rows are each reported; a paragraph is
-reported once, with its best family; ``paragraph`` counts lines from 0; a paragraph without any n-gram
+Ordinary text for training is a bounded sample of the documents (``LINES`` windows of as many different documents, by a hash of the text and at a
+place given by it) without those that share a word triple with a notice. The scan covers every word of every text.
+
+Defined results: null and empty texts give no rows; repeated rows are each reported; ``paragraph`` is the first of a finding, counted
+from 0, ``paragraphs`` how many it spans; line ends may be ``\\r\\n``; a window without any n-gram
 of the model is ordinary text.
 """
 
@@ -30,15 +38,16 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .common import column, kind, need, plain_words, shingles, starts_inside, sub_batches
 
-LINES, VARIANTS, GRAMS, L1, STEPS, FALSE, CONFIRM = 3000, 40, 3, 2e-4, 200, 0.05, 0.5
+LINES, VARIANTS, GRAMS, L1, STEPS, FALSE, CONFIRM, LEAST = 3000, 40, 3, 2e-4, 200, 0.05, 0.5, 20
+WINDOW, STRIDE = 100, 50
 
 FAMILIES = {
     "mit": ["Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "MIT License", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
-    "apache": ["Licensed under the Apache License, Version 2.0.", "This file is available under the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Apache License Version 2.0, January 2004"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "Released under the GNU GPL v3 or later.", "Licensed under GPLv2.", "SPDX-License-Identifier: GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "You should have received a copy of the GNU General Public License along with this program."],
+    "apache": ["Licensed under the Apache License, Version 2.0.", "This file is available under the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Apache License Version 2.0, January 2004", "See the License for the specific language governing permissions and limitations under the License."],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "Released under the GNU GPL v3 or later.", "Licensed under GPLv2.", "SPDX-License-Identifier: GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "You should have received a copy of the GNU General Public License along with this program.", "See the GNU General Public License for more details."],
     "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "Released under the LGPL version 3."],
     "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "This program is distributed under the terms of the GNU Affero General Public License as published by the Free Software Foundation.", "Released under the AGPL v3."],
-    "bsd": ["Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license.", "SPDX-License-Identifier: BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "bsd": ["Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license.", "SPDX-License-Identifier: BSD-2-Clause", "Redistributions of source code must retain the above copyright notice and this list of conditions.", "Redistributions in binary form must reproduce the above copyright notice in the documentation.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0", "If a copy of the MPL was not distributed with this file, you can obtain one at https://mozilla.org/MPL/2.0/."],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Text available under Creative Commons Attribution 3.0 Unported.", "SPDX-License-Identifier: CC-BY-4.0"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
@@ -49,7 +58,7 @@ FAMILIES = {
 }
 #: Notices outside every family: the first part trains ``unknown``, the second one calibrates.
 OTHERS = (
-    ["Licensed under the Eclipse Public License, version 2.0.", "This program is distributed under the Artistic License 2.0.", "Subject to the terms of the zlib license, altered source versions must be plainly marked as such.", "This font software is licensed under the SIL Open Font License, Version 1.1.", "Distributed under the terms of the Server Side Public License.", "You may use this material for teaching, provided that the source is named.", "The licensee shall not transfer the licence to third parties.", "Licensed under the Common Development and Distribution License 1.0."],
+    ["Licensed under the Eclipse Public License, version 2.0.", "This program is distributed under the Artistic License 2.0.", "Subject to the terms of the zlib license, altered source versions must be plainly marked as such.", "This font software is licensed under the SIL Open Font License, Version 1.1.", "Distributed under the terms of the Server Side Public License.", "You may use this material for teaching, provided that the source is named.", "The licensee shall not transfer the licence to third parties.", "The software is provided as is, without warranty of any kind, express or implied.", "In no event shall the authors or copyright holders be liable for any claim or damages.", "including the warranties of merchantability, fitness for a particular purpose and noninfringement", "This program is distributed in the hope that it will be useful, but without any warranty.", "This software is provided by the copyright holders and contributors as is.", "liable for any direct, indirect, incidental, special, exemplary or consequential damages, however caused", "Unless required by applicable law or agreed to in writing, software is distributed as is.", "Licensed under the Common Development and Distribution License 1.0."],
     ["Distributed under the Boost Software License, Version 1.0.", "Licensed under the European Union Public Licence, version 1.2.", "Licensed under the Microsoft Reciprocal License.", "This package is released under the terms of the PHP License, version 3.01.", "Use is subject to the Business Source License; the change date is four years after release.", "Released under the Academic Free License v3.", "Licensed under the Python Software Foundation License version 2.", "You are granted a limited licence to display this page for private study."],
 )
 CLASSES = [*FAMILIES, "unknown", "none"]
@@ -138,13 +147,13 @@ class Classifier:
         return self._softmax(self.logits(keys, offsets) / self.temperature)
 
     def similarity(self, family: str, own: set[int]) -> float:
-        """Largest share of n-grams in common with a template of the family, of the shorter one's."""
-        return max((len(own & t) / min(len(own), len(t)) for t in self.templates[family]), default=0.0) if own else 0.0
+        """Largest share of n-grams in common with a template of the family."""
+        part = lambda t: len(own & t) / max(min(len(own), len(t)), min(LEAST, len(t)))
+        return max((part(t) for t in self.templates[family]), default=0.0)
 
-    def hits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Texts that hold an n-gram of the model, those n-grams, each once, and offsets by text."""
-        h, offsets, _ = plain_words(texts)
-        found = []
+    def hits(self, h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows that hold an n-gram of the model, those n-grams, each once, and offsets by window."""
+        first, found = first_windows(offsets), []
         for n in range(1, GRAMS + 1):
             s = shingles(h, n)
             at = np.flatnonzero(self.bloom[(s >> np.uint64(42)).astype(np.int64)])
@@ -152,30 +161,67 @@ class Classifier:
             ok = self.keys[k] == s[at]
             at, k = at[ok], k[ok]
             row = np.searchsorted(offsets, at, "right") - 1
-            ok = at + n <= offsets[row + 1]
-            found.append(row[ok] * len(self.keys) + k[ok])
+            for back in (0, 1):  # the windows that a place lies in
+                w = first[row] + (at - offsets[row]) // STRIDE - back
+                ok = (at + n <= offsets[row + 1]) & (w >= first[row]) & (w < first[row + 1])
+                found.append(w[ok] * len(self.keys) + k[ok])
         pairs = np.unique(np.concatenate(found))
-        rows, starts = np.unique(pairs // len(self.keys), return_index=True)
-        return rows, pairs % len(self.keys), np.append(starts, len(pairs))
+        windows, starts = np.unique(pairs // len(self.keys), return_index=True)
+        return windows, pairs % len(self.keys), np.append(starts, len(pairs))
 
     def scan(self, texts: pa.Array) -> list[tuple[int, str, float, float, bool]]:
-        """(row, family, probability, similarity, confirmed) of the texts that aren't ordinary."""
-        rows, k, offsets = self.hits(texts)
-        p = self._softmax((self._sum(self.weights[k], offsets) + self.bias) / self.temperature)
+        """(paragraph, family, probability, similarity, confirmed) of the windows that aren't ordinary, in order."""
+        h, offsets, _ = plain_words(texts)
+        windows, k, starts = self.hits(h, offsets)
+        p = self._softmax((self._sum(self.weights[k], starts) + self.bias) / self.temperature)
         own = np.flatnonzero(p.argmax(1) != NONE)
-        rows, p, out = rows[own], p[own], []
-        if not len(rows):
-            return out
-        keys, offsets = grams(texts.take(pa.array(rows)))
-        for i, row in enumerate(rows.tolist()):
-            best = int(p[i, :UNKNOWN].argmax())
-            x, share = float(p[i, best]), self.similarity(CLASSES[best], set(keys[offsets[i] : offsets[i + 1]].tolist()))
-            known = x >= self.least and share >= CONFIRM
-            if not known:
-                x = float(p[i, UNKNOWN])
-            out.append((row, CLASSES[best] if known else "unknown", x, share, known))
+        first = first_windows(offsets)
+        paragraph = np.searchsorted(first, windows[own], "right") - 1
+        out = []
+        for i, w, row in zip(own.tolist(), windows[own].tolist(), paragraph.tolist()):
+            a = offsets[row] + (w - first[row]) * STRIDE
+            decided = self.decide(p[i], ngrams(h[a : min(a + WINDOW, offsets[row + 1])]))
+            if decided:
+                out.append((row, *decided))
         return out
 
+    def decide(self, p: np.ndarray, own: set[int]) -> tuple[str, float, float, bool] | None:
+        """Family, probability, similarity and confirmation by the probabilities and n-grams of a window; None for ordinary text."""
+        best = int(p[:UNKNOWN].argmax())
+        share = self.similarity(CLASSES[best], own)
+        if p[best] >= self.least and share >= CONFIRM:
+            return CLASSES[best], float(p[best]), share, True
+        other = float(p[UNKNOWN] / max(p[UNKNOWN] + p[NONE], 1e-300))
+        return ("unknown", other, share, False) if other >= 0.5 else None
+
+
+def first_windows(offsets: np.ndarray) -> np.ndarray:
+    """Number of the first window of each row; a row has one at least."""
+    return np.concatenate(([0], np.cumsum(np.maximum(1, -(-(np.diff(offsets) - STRIDE) // STRIDE)))))
+
+
+def ngrams(h: np.ndarray) -> set[int]:
+    return {x for n in range(1, GRAMS + 1) for x in shingles(h, n).tolist()}
+
+
+def rank(family: str) -> int:
+    """What gives way to another family beside it: disclaimers, and rights that are reserved before they are granted."""
+    return {"unknown": 0, "proprietary": 1}.get(family, 2)
+
+
+def merged(hits: list[tuple[int, int, str, float, float, bool]]) -> list[tuple]:
+    """Findings (document, first paragraph, paragraphs, family, ..) from windows (document, paragraph, family, ..) in order."""
+    out: list[list] = []
+    for doc, at, family, *rest in hits:
+        last = out[-1] if out else None
+        if last and last[0] == doc and at - last[1] - last[2] < 2 and (family == last[3] or min(rank(family), rank(last[3])) < 2):
+            last[2] = at - last[1] + 1
+            if (rank(family), *rest[:2]) > (rank(last[3]), *last[4:6]):
+                last[3:] = [family, *rest]
+        else:
+            out.append([doc, at, 1, family, *rest])
+    return [tuple(x) for x in out]
+
 
 def variants(notices: list[str], prose: list[str], rng: np.random.Generator, n: int = VARIANTS) -> list[str]:
     """Notices with up to a third cut off, one word in twelve lost, and often ordinary words around."""
@@ -225,37 +271,55 @@ def _triples(text: str) -> set[tuple[str, ...]]:
 
 #: Ordinary lines that use the words of licences, and a few of everyday kind.
 ORDINARY = [
+    "She studied physics at MIT before she moved to the west coast.", "The Apache lived in the south west of the country.", "A Mozilla engineer gave a talk at the university.", "They bought a licence for the car park.", "The common ground between the creative teams was small.", "The foundation was laid in spring.", "The proprietor of the shop is an Apache by birth.", "License", "Public", "Software", "MIT", "GPL", "Apache", "Copyright",
     "He has held a driving license since last year and drives to work.", "The public library is open in general from nine to five.", "She reserved a table for four under her own name.", "The rights of the child were discussed in the general assembly.", "A copy of the report was sent to every member of the committee.", "You may use the software on the second floor of the building.", "The new version of the song was released in March.", "The university offers a free course on software foundations.", "This work was the best of the year.", "The terms of the agreement were not made public.",
     "The domain of the function is the set of real numbers.", "All of the seats were taken.", "The source of the river lies in the mountains.", "We met at the station and walked to the sea.", "The weather was fine and the children played outside.", "Nous avons marché longtemps le long de la rivière.", "Der Zug fuhr um acht Uhr ab und kam pünktlich an.", "La casa estaba cerca del mercado y de la plaza.",
 ]
 
 
 def ordinary_lines(docs: DataFrame, lines: int = LINES) -> list[str]:
-    """A bounded sample of lines, one of each chosen document, by a hash of the text."""
+    """A bounded sample of windows: of each chosen text, one of a line, both at places given by a hash; ``lines`` of them at most."""
     rows = need(docs, "text").filter("text is not null")
     n = rows.count()
-    unit = F.shiftrightunsigned(F.xxhash64("text", F.lit(9)), 11) / F.lit(float(1 << 53))
-    chosen = F.split("text", "\n")
-    line = F.substring(F.element_at(chosen, F.pmod(F.xxhash64("text"), F.size(chosen)).cast("int") + 1), 1, 2000)
-    return sorted(r[0] for r in rows.filter(unit < min(1.0, lines / max(1, n))).select(line.alias("line")).collect() if r[0].strip())
+    hashed = F.xxhash64("text", F.lit(9))
+    unit = F.shiftrightunsigned(hashed, 11) / F.lit(float(1 << 53))
+    at = lambda words, size: F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), size)).cast("int") + 1
+    line = F.element_at(F.split("text", "\n"), at("text", F.size(F.split("text", "\n"))))
+    words = F.split(line, r"\s+")
+    part = F.array_join(F.slice(words, at("text", F.size(words) - WINDOW + 1), WINDOW), " ")
+    # copies of one text have one hash: they count once
+    some = rows.filter(unit < min(1.0, 1.2 * lines / max(1, n))).select(hashed.alias("h"), part.alias("line")).distinct().orderBy("h", "line").limit(lines)
+    return sorted(r.line for r in some.collect() if r.line.strip())
+
+
+_MARKS = r"(?m)^[ \t]*(?:/\*+|//+|#+|\*+/?|;+|--+|%+|<!--)[ \t]*"
+
+
+def paragraphs(texts: pa.Array) -> pa.ListArray:
+    """Blocks of lines of each text."""
+    t = pc.replace_substring_regex(pc.fill_null(texts, ""), _MARKS, "")
+    t = pc.replace_substring_regex(t, r"([.!?:;][\"')\]]*)[ \t\r]*\n(?:[ \t\r]*\n)*|\n(?:[ \t\r]*\n)+", "\\1\x1e")
+    return pc.split_pattern(t, "\x1e")
 
 
 def _scan(batches: Iterable[pa.RecordBatch], model: Classifier) -> Iterator[pa.RecordBatch]:
     for b in sub_batches(batches):
-        lists = pc.split_pattern(pc.fill_null(column(b, "text"), ""), "\n")
+        lists = paragraphs(column(b, "text"))
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        found = model.scan(lists.flatten())
-        if found:
-            line, family, p, share, ok = zip(*found)
-            line = np.array(line, np.int64)
-            row = np.searchsorted(offsets - offsets[0], line, "right") - 1
-            yield pa.record_batch([column(b, "doc_id").take(pa.array(row)), pa.array(line - (offsets - offsets[0])[row]), pa.array(family), pa.array(p, pa.float64()), pa.array(share, pa.float64()), pa.array(ok)], names=["doc_id", "paragraph", "family", "probability", "similarity", "confirmed"])
+        offsets = offsets - offsets[0]
+        hits = model.scan(lists.flatten())
+        if hits:
+            row = np.searchsorted(offsets, [x[0] for x in hits], "right") - 1
+            out = merged([(r, x[0] - int(offsets[r]), *x[1:]) for r, x in zip(row.tolist(), hits)])
+            doc, *rest = zip(*out)
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_())
+            yield pa.record_batch([column(b, "doc_id").take(pa.array(doc, pa.int64())), *map(pa.array, rest, kinds)], names=["doc_id", "paragraph", "paragraphs", "family", "probability", "similarity", "confirmed"])
 
 
 def found(docs: DataFrame, model: Classifier) -> DataFrame:
-    """``doc_id, paragraph, family, probability, similarity, confirmed`` of each paragraph with licence text."""
+    """``doc_id, paragraph, paragraphs, family, probability, similarity, confirmed`` of each finding of licence text."""
     sent = ship(docs.sparkSession).sparkContext.broadcast(model)
-    return need(docs, "doc_id", "text").mapInArrow(lambda it: _scan(it, sent.value), f"doc_id {kind(docs, 'doc_id')}, paragraph long, family string, probability double, similarity double, confirmed boolean")
+    return need(docs, "doc_id", "text").mapInArrow(lambda it: _scan(it, sent.value), f"doc_id {kind(docs, 'doc_id')}, paragraph long, paragraphs long, family string, probability double, similarity double, confirmed boolean")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
