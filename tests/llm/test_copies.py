@@ -202,14 +202,29 @@ def test_every_window_is_found(spark, documents):
     assert {(r.doc_id, r.item_id) for r in parts.collect()} == set(got)
 
 
-def test_hamming_blocks_find_all_within_the_radius():
+@pytest.mark.parametrize("radius", [12, 88, 120])
+def test_hamming_blocks_find_all_within_the_radius(radius):
     rng = np.random.default_rng(2)
-    index = decontam.Index(list(range(40)), [prose(random.Random(i), 20) for i in range(40)], 12, 3)
-    own = index.prints.copy()
-    flips = np.array([sum(1 << int(b) for b in rng.choice(64, int(k), replace=False)) for k in rng.integers(0, 20, 40)], np.uint64)
-    query, size = own ^ flips, index.size.copy()
-    want = {(i, j) for i in range(40) for j in range(40) if size[i] == index.size[j] and int(query[i] ^ own[j]).bit_count() <= 12}
-    assert {(int(a), int(b)) for a, b in zip(*index.near(query, size))} == want
+    index = decontam.Index(list(range(40)), [prose(random.Random(i), 20 + i % 2) for i in range(40)], radius, 3)
+    query = index.prints.copy()
+    for row, k in zip(query, rng.integers(0, radius * 2, 40)):
+        for b in rng.choice(256, int(k), replace=False):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    apart = np.bitwise_count(query[:, None] ^ index.prints).sum(2, dtype=int)
+    want = {(i, j) for i in range(40) for j in range(40) if index.size[j] == 20 and apart[i, j] <= radius}
+    assert {(int(a), int(b)) for a, b in zip(*index.near(query, 20))} == want and want
+    assert not len(index.near(query, 999)[0]) and not len(index.near(query[:0], 20)[0])
+
+
+def test_the_index_selects():
+    """At 20,000 items, hardly any window is compared with an item that it has nothing to do with."""
+    rng = random.Random(21)
+    texts = [" ".join(f"w{rng.randrange(50_000)}" for _ in range(rng.randrange(20, 40))) for _ in range(20_000)]
+    index = decontam.Index(list(range(len(texts))), texts)
+    other = decontam.Index(list(range(300)), [" ".join(f"w{rng.randrange(50_000)}" for _ in range(25)) for _ in range(300)])
+    found = index.near(other.prints, 25)
+    assert not len(found[0]) and index.compared < 0.01 * 300 * len(index.of_size[25])
+    assert index.similarity(7, index.bag[index.bags[7] : index.bags[8]].repeat(index.count[index.bags[7] : index.bags[8]]), int(index.total[7])) == 1
 
 
 def test_clean_of_odd_rows(spark, odd):
