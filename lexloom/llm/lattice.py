@@ -10,11 +10,12 @@ Pieces come from an existing vocabulary file (a path parameter). A unigram file
 probabilities, which are used as they are. A merge-ranked file has only ranks; its pieces then get
 unigram log probabilities from the corpus: all words of all documents are counted, each
 distinct word is segmented once by the existing tokenizer, and piece counts are smoothed by ``DELTA``.
-The tokenizer itself is never trained.
+The tokenizer itself is never trained. The driver reads the file and sends its bytes to the tasks; words are normalised as the file asks, for
+counting and for scoring alike.
 
 Defined results: a null text has null scores; a text without words has log probability 0 and null
 ``bits_per_char``. Repeated rows score alike and each counts in the corpus. An empty corpus gives all
-pieces one probability.
+pieces one probability. Ids may be of any type.
 """
 
 from __future__ import annotations
@@ -35,24 +36,43 @@ from .common import M1, column, kind, mix, need, segment_sum, sub_batches, words
 VOCABULARY, DELTA, MARK, WIDE = "/opt/tokenizers/piece_bpe_32k.model", 0.5, "▁", 48
 
 
+def model_bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 @lru_cache(2)
-def processor(path: str):
+def processor(model: bytes):
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+    return sentencepiece.SentencePieceProcessor(model_proto=model)
+
+
+@lru_cache(2)
+def plain(model: bytes) -> bool:
+    """Does the file leave words as they are, but for the mark before them?"""
+    probe = "ﬁ①Ａe\u0301Éß"
+    return processor(model).normalize(probe) == MARK + probe
+
+
+def normalised(model: bytes, distinct: pa.Array) -> list[str]:
+    """Words with the mark before them, in the file's normal form."""
+    if plain(model):
+        return pc.binary_join_element_wise(MARK, distinct, "").to_pylist()
+    return processor(model).normalize(distinct.to_pylist())
 
 
-def pieces(path: str) -> tuple[dict[str, int], dict[int, int], np.ndarray]:
+def pieces(model: bytes) -> tuple[dict[str, int], dict[int, int], np.ndarray]:
     """Ids of ordinary pieces, of bytes, and the file's scores."""
-    p = processor(path)
+    p = processor(model)
     ids = [i for i in range(p.vocab_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
     ordinary = {p.id_to_piece(i): i for i in ids if not p.is_byte(i)}
     return ordinary, {int(p.id_to_piece(i)[3:5], 16): i for i in ids if p.is_byte(i)}, np.array([p.get_score(i) for i in range(p.vocab_size())])
 
 
-def ranked(path: str) -> bool:
+def ranked(model: bytes) -> bool:
     """Are the file's scores merge ranks, not log probabilities?"""
-    ordinary, _, scores = pieces(path)
+    ordinary, _, scores = pieces(model)
     own = scores[list(ordinary.values())]
     return bool((own == np.round(own)).all())
 
@@ -65,8 +85,8 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([distinct.filter(used), pa.array(n).filter(used)], names=["word", "n"])
 
 
-def _count_pieces(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    p = processor(path)
+def _count_pieces(batches: Iterable[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
+    p = processor(model)
     total = np.zeros(p.vocab_size(), np.int64)
     for b in batches:
         if b.num_rows:
@@ -85,11 +105,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return need(docs, "text").filter("text is not null").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def corpus_scores(docs: DataFrame, path: str = VOCABULARY, delta: float = DELTA) -> np.ndarray:
+def corpus_scores(docs: DataFrame, model: bytes, delta: float = DELTA) -> np.ndarray:
     """Log probability of each piece by id, from all of ``docs``. The driver gets one row per piece."""
-    ordinary, of_byte, _ = pieces(path)
-    counts = np.zeros(processor(path).vocab_size())
-    for r in word_counts(docs).mapInArrow(lambda it: _count_pieces(it, path), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+    ordinary, of_byte, _ = pieces(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    counts = np.zeros(processor(model).vocab_size())
+    for r in word_counts(docs).mapInArrow(lambda it: _count_pieces(it, sent.value), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
         counts[r.piece] = r.n
     out, used = np.full(len(counts), -inf), [*ordinary.values(), *of_byte.values()]
     out[used] = np.log(counts[used] + delta) - np.log(counts[used].sum() + delta * len(used))
@@ -172,12 +193,12 @@ class Lattice:
         return alpha[-1]
 
 
-def _score(batches: Iterable[pa.RecordBatch], lattice: Lattice) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterable[pa.RecordBatch], lattice: Lattice, model: bytes) -> Iterator[pa.RecordBatch]:
     for b in sub_batches(batches):
         text = column(b, "text")
         null = text.is_null().to_numpy(zero_copy_only=False)
         codes, offsets, distinct = words(text)
-        marked = pc.binary_join_element_wise(MARK, distinct, "").to_pylist()
+        marked = normalised(model, distinct)
         logs = segment_sum(lattice.many(marked)[codes], offsets)
         chars = segment_sum(np.fromiter(map(len, marked), np.int64, len(marked))[codes], offsets)
         with np.errstate(invalid="ignore", divide="ignore"):
@@ -188,11 +209,12 @@ def _score(batches: Iterable[pa.RecordBatch], lattice: Lattice) -> Iterator[pa.R
 def score(docs: DataFrame, path: str = VOCABULARY, scores: np.ndarray | None = None, delta: float = DELTA) -> DataFrame:
     """``doc_id, n_words, log_prob, bits_per_char`` of every row of ``docs`` (``doc_id``, ``text``)."""
     spark = ship(docs.sparkSession)
-    ordinary, of_byte, own = pieces(path)
+    model = model_bytes(path)
+    ordinary, of_byte, own = pieces(model)
     if scores is None:
-        scores = corpus_scores(docs, path, delta) if ranked(path) else own
-    lattice = spark.sparkContext.broadcast(Lattice(ordinary, of_byte, scores))  # as large as the vocabulary
-    return need(docs, "doc_id", "text").mapInArrow(lambda it: _score(it, lattice.value), f"doc_id {kind(docs, 'doc_id')}, n_words long, log_prob double, bits_per_char double")
+        scores = corpus_scores(docs, model, delta) if ranked(model) else own
+    sent = spark.sparkContext.broadcast((Lattice(ordinary, of_byte, scores), model))  # as large as the vocabulary
+    return need(docs, "doc_id", "text").mapInArrow(lambda it: _score(it, *sent.value), f"doc_id {kind(docs, 'doc_id')}, n_words long, log_prob double, bits_per_char double")
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
