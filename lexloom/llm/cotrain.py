@@ -5,16 +5,18 @@ distinct, most frequent and doubled words. The metadata view sees what is known
 source, stated length and layout in lines. Each view has a logistic regression. In every round each
 scores all unlabelled documents, and those that it is most sure of go to the *other* view's training rows, a
 class no faster than its share among the labelled ones, and each language and source by its own share. Both are calibrated on held-out labelled rows
-(Platt), and so is their combination, which scores all documents.
+(Platt). Their combination, which scores all documents, is fitted on held-out rows that the views' calibration hasn't seen.
 
-The rows that are fitted are bounded: about ``LABELLED`` labelled ones, chosen by a hash of ``doc_id``, and
+The rows that are fitted are bounded: at most ``LABELLED`` labelled documents, those first by a hash of ``doc_id``, at most ``COPIES``
+times as many distinct rows of them, and
 ``POOL`` labelled by the views, beside ``LEAST`` a round of each class, language and source. Features of all
 rows are written once and every round scores them all; the scores of sure rows alone go through an exchange.
 Scoring covers every row and the whole text, in one pass without an exchange.
 
 Defined results: a null text or one without a word has score 0 and isn't kept; null metadata is a value of its own;
 a document whose labels disagree takes the majority, of equal numbers the lower; without labels of both
-kinds nothing is fitted, scores are null and all rows with a word are kept. Repeated rows score alike.
+kinds nothing is fitted, scores are null and all rows with a word are kept. Repeated rows score alike and are fitted once. Rows without a ``doc_id``
+have no label; ids may be of any type.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from ..session import new_dir, remove, ship
 from .common import column, hashes, kind, need, segment_sum, sub_batches, words
 
-LABELLED, POOL, LEAST, ROUNDS, SURE, KEEP, BUCKETS = 8000, 8000, 2, 4, 0.95, 0.3, 256
+LABELLED, COPIES, POOL, LEAST, ROUNDS, SURE, KEEP, BUCKETS = 8000, 2, 8000, 2, 4, 0.95, 0.3, 256
 META = ("lang", "source", "n_chars")
 LANGS, SOURCES, LENGTHS = 16, 64, 16
 
@@ -155,18 +157,21 @@ def exchange(views: tuple, y: np.ndarray, held: tuple, hy: np.ndarray, fit: list
     ``choose(fit, given)`` yields ``k, key, label, x``: a row that view ``k`` labels, with its features in the other view;
     ``given[k]`` holds what view ``k`` got so far, by key.
     """
-    given = ({}, {})
+    given, whole = ({}, {}), range(len(hy))
+    one, two = whole[::2], whole[1::2]  # for the views' calibration and for that of their combination
+    if any(len(np.unique(hy[part])) < 2 for part in (one, two)):
+        one = two = whole
     for r in range(rounds + 1):
         for k, x in enumerate(views):
             more = [given[k][i] for i in sorted(given[k])]
             rows = np.concatenate([x, np.array([f for _, f in more], x.dtype).reshape(-1, x.shape[1])])
             labels = np.concatenate([y, [label for label, _ in more]]).astype(float)
-            fit[k].fit(rows, labels, np.concatenate([np.ones(len(y)), np.full(len(more), 0.5)]), held[k], hy)
+            fit[k].fit(rows, labels, np.concatenate([np.ones(len(y)), np.full(len(more), 0.5)]), held[k][one], hy[one])
         if r < rounds:
             for k, key, label, f in list(choose(fit, given)):
                 given[1 - k][key] = label, f
-    z = np.column_stack([np.clip(v.logit(x), -20, 20) for v, x in zip(fit, held)])
-    return Model(*fit, calibrate(z, hy))
+    z = np.column_stack([np.clip(v.logit(x[two]), -20, 20) for v, x in zip(fit, held)])
+    return Model(*fit, calibrate(z, hy[two]))
 
 
 def co_train(tx: np.ndarray, mx: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, sure: float = SURE) -> Model:
@@ -228,21 +233,21 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, sure: float = SURE) -> Model | None:
     """The model from a bounded sample of the labels and all unlabelled rows; None if the labels don't hold both kinds."""
     spark = ship(docs.sparkSession)
-    unit = lambda seed: F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    given = need(labels, "doc_id", "quality").filter("doc_id is not null and quality in (0, 1)")
-    some = given.filter(unit(3) < min(1.0, labelled / max(1, given.count()))).groupBy("doc_id").agg((F.avg("quality") > 0.5).cast("int").alias("y"))
-    # the sample is bounded by ``labelled``, so its side of the join may be sent to all tasks
+    given = need(labels, "doc_id", "quality").filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg((F.avg("quality") > 0.5).cast("int").alias("y"))
+    # ``labelled`` rows at most, so this side of the join may be sent to all tasks
+    some = given.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(labelled)
     rows = need(docs, "doc_id", "text", *META).join(F.broadcast(some), "doc_id", "left")
     schema, path = "key long, stratum int, y int, tx binary, mx binary", new_dir(spark, "features")
     rows.select("doc_id", "text", *META, "y").mapInArrow(_features, schema).write.parquet(path)
     try:
-        return _fitted(spark.read.schema(schema).parquet(path), pool, rounds, sure)
+        return _fitted(spark.read.schema(schema).parquet(path), labelled * COPIES, pool, rounds, sure)
     finally:
         remove(path)
 
 
-def _fitted(features: DataFrame, pool: int, rounds: int, sure: float) -> Model | None:
-    got = features.filter("y is not null").toArrow()
+def _fitted(features: DataFrame, most: int, pool: int, rounds: int, sure: float) -> Model | None:
+    # a ``doc_id`` may have any number of rows: no more than ``most`` of them come here
+    got = features.filter("y is not null").dropDuplicates(["key"]).orderBy(F.xxhash64("key")).limit(most).toArrow()
     order = np.argsort(got["key"].to_numpy().view(np.uint64), kind="stable")
     y = got["y"].to_numpy()[order]
     held = np.arange(len(y)) % 10 < 3
@@ -275,9 +280,9 @@ def _fitted(features: DataFrame, pool: int, rounds: int, sure: float) -> Model |
     return exchange(tuple(v[~held] for v in views), y[~held], tuple(v[held] for v in views), y[held].astype(float), [View(t) for t in total], choose, rounds)
 
 
-def hash_key(doc_id: int | None, tx: bytes, mx: bytes) -> int:
+def hash_key(doc_id: object, tx: bytes, mx: bytes) -> int:
     """An order of the rows that doesn't depend on how they were read."""
-    return xxhash.xxh64_intdigest(tx + mx, (doc_id or 0) & (1 << 63) - 1)
+    return xxhash.xxh64_intdigest(tx + mx, xxhash.xxh64_intdigest(repr(doc_id)))
 
 
 def _score(batches: Iterable[pa.RecordBatch], model: Model | None, keep: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray, tuple, np.ndarray]]:
