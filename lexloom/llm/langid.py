@@ -11,10 +11,11 @@ letter or the cosine is under ``MIN_COSINE * sqrt(n / (n + HALF))`` for n n-gram
 holds less of a profile, so less is asked of it.
 
 The labelled sample is bounded: about ``PER_LANGUAGE`` documents of each language, chosen by a hash
-of text, whatever the size of the table. Everything else covers all text of all rows.
+of text, whatever the size of the table; a text that is repeated, a million times even, is in it once. A language's sample is bundled in one
+task, so the driver gets one vector of each language from one query. Everything else covers all text of all rows.
 
 Defined results: null or letterless texts are ``und`` with cosine 0; rows with a null ``lang`` train
-nothing; without any labelled row every text is ``und``; repeated rows count as often as they occur.
+nothing; without any labelled row every text is ``und``; ids may be of any type.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, written
 from .common import column, kind, need, sub_batches
 
 DIMENSION, GRAM, PER_LANGUAGE, MIN_COSINE, HALF = 1024, 3, 1000, 0.25, 200
-SUB = 1 << 20
+SUB, PARTS = 1 << 20, 16
 
 
 class Vectors:
@@ -135,15 +136,11 @@ def _train(batches: Iterable[pa.RecordBatch], dimension: int, gram: int) -> Iter
 def prototypes(docs: DataFrame, per_language: int = PER_LANGUAGE, dimension: int = DIMENSION, gram: int = GRAM) -> dict[str, np.ndarray]:
     """Prototype of each language in ``docs`` (``text``, ``lang``), from a bounded sample of each."""
     rows = need(docs, "text", "lang").filter("lang is not null and text is not null")
-    number = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not number:
-        return {}
-    share = F.coalesce(*(F.when(F.col("lang") == F.lit(k), F.lit(min(1.0, per_language / n))) for k, n in number.items()))
     unit = F.shiftrightunsigned(F.xxhash64("text", F.lit(1)), 11) / F.lit(float(1 << 53))
-    sums: dict[str, np.ndarray] = {}
-    for r in rows.filter(unit < share).select("text", "lang").mapInArrow(lambda it: _train(it, dimension, gram), "lang string, v array<double>").toLocalIterator():
-        sums[r.lang] = sums.get(r.lang, 0) + np.array(r.v)
-    return dict(sorted(sums.items()))
+    share = written(rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("share")), "shares")
+    some = rows.join(share, "lang").filter(unit < F.col("share")).select("text", "lang").distinct().repartition(PARTS, "lang")
+    got = some.mapInArrow(lambda it: _train(it, dimension, gram), "lang string, v array<double>").toArrow()
+    return {k: np.array(v) for k, v in sorted(zip(got["lang"].to_pylist(), got["v"].to_pylist()))}
 
 
 def _score(batches: Iterable[pa.RecordBatch], names: list[str], protos: np.ndarray, settings: tuple) -> Iterator[pa.RecordBatch]:
@@ -165,12 +162,16 @@ def _score(batches: Iterable[pa.RecordBatch], names: list[str], protos: np.ndarr
         yield pa.record_batch([*rest_of, *extra], names=[*(c_ for c_ in b.schema.names if c_ != text), "language", "cosine", "margin"])
 
 
+def _sent(docs: DataFrame, protos: dict[str, np.ndarray]):
+    """Names and prototypes for all tasks: a few kB for each language."""
+    return ship(docs.sparkSession).sparkContext.broadcast((list(protos), np.array(list(protos.values()), np.float32)))
+
+
 def identify(docs: DataFrame, protos: dict[str, np.ndarray], dimension: int = DIMENSION, gram: int = GRAM, min_cosine: float = MIN_COSINE, half: float = HALF) -> DataFrame:
     """``doc_id, language, cosine, margin`` for every row of ``docs`` (``doc_id``, ``text``)."""
-    ship(docs.sparkSession)
-    names, matrix = list(protos), np.array(list(protos.values()), np.float32)
+    sent = _sent(docs, protos)
     settings = (dimension, gram, min_cosine, half, "text")
-    return need(docs, "doc_id", "text").mapInArrow(lambda it: _score(it, names, matrix, settings), f"doc_id {kind(docs, 'doc_id')}, language string, cosine double, margin double")
+    return need(docs, "doc_id", "text").mapInArrow(lambda it: _score(it, *sent.value, settings), f"doc_id {kind(docs, 'doc_id')}, language string, cosine double, margin double")
 
 
 def _filter(batches: Iterable[pa.RecordBatch], names: list[str], protos: np.ndarray, settings: tuple, at: int) -> Iterator[pa.RecordBatch]:
@@ -184,11 +185,10 @@ def _filter(batches: Iterable[pa.RecordBatch], names: list[str], protos: np.ndar
 
 def known(docs: DataFrame, protos: dict[str, np.ndarray], **settings) -> DataFrame:
     """Rows of ``docs`` whose language is found, all columns as they came; one pass, no join."""
-    ship(docs.sparkSession)
-    names, matrix = list(protos), np.array(list(protos.values()), np.float32)
+    sent = _sent(docs, protos)
     s = (settings.get("dimension", DIMENSION), settings.get("gram", GRAM), settings.get("min_cosine", MIN_COSINE), settings.get("half", HALF), "text")
     at = docs.columns.index("text")
-    return docs.mapInArrow(lambda it: _filter(it, names, matrix, s, at), docs.schema)
+    return docs.mapInArrow(lambda it: _filter(it, *sent.value, s, at), docs.schema)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
