@@ -53,8 +53,9 @@ def test_lattice_of_long_words_agrees(small):
 def test_score_counts_the_whole_corpus(spark, documents):
     docs = documents(["river river stone", "stone", None, ""])
     got = {r.doc_id: r for r in lattice.score(docs).collect()}
-    ordinary, of_byte, _ = lattice.pieces(lattice.VOCABULARY)
-    p = lattice.processor(lattice.VOCABULARY)
+    model = lattice.model_bytes(lattice.VOCABULARY)
+    ordinary, of_byte, _ = lattice.pieces(model)
+    p = lattice.processor(model)
     counts = np.zeros(p.vocab_size())
     for w in "river river stone stone".split():
         for i in p.encode(w):
@@ -67,6 +68,30 @@ def test_score_counts_the_whole_corpus(spark, documents):
     assert (got[3].log_prob, got[3].n_words, got[3].bits_per_char) == (0.0, 0, None)
 
 
+def unigram_file(pieces: dict[str, float]) -> bytes:
+    """A model file with log probabilities, written field by field: pieces, then the kind of model, then its normal form."""
+    import struct
+
+    field = lambda n, body: bytes([n << 3 | 2]) + (bytes([len(body)]) if len(body) < 128 else bytes([len(body) & 127 | 128, len(body) >> 7])) + body
+    piece = lambda t, score, sort: field(1, field(1, t.encode()) + b"\x15" + struct.pack("<f", score) + bytes([0x18, sort]))
+    out = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3)
+    out += b"".join(piece(t, s, 1) for t, s in pieces.items())
+    return out + field(2, bytes([0x18, 1, 0x20, len(pieces) + 3])) + field(3, field(1, b"identity"))
+
+
+def test_scores_of_a_unigram_file(spark, documents, tmp_path):
+    """Log probabilities of a file are used as they are."""
+    own = {"▁": -2.5, "a": -1.25, "b": -1.5, "ab": -1.75, "▁a": -0.75, "aba": -3.125, "é": -4.5}
+    path = tmp_path / "unigram.model"
+    path.write_bytes(unigram_file(own))
+    model = lattice.model_bytes(str(path))
+    assert not lattice.ranked(model) and lattice.pieces(model)[0].keys() == own.keys() and lattice.plain(model)
+    lat = lattice.Lattice(*lattice.pieces(model))
+    got = {r.doc_id: r.log_prob for r in lattice.score(documents(["abab aé", "ba", "zé"]), str(path)).collect()}
+    assert got[0] == pytest.approx(brute("▁abab", lat) + brute("▁aé", lat), abs=1e-6)
+    assert got[1] == pytest.approx(brute("▁ba", lat), abs=1e-6) and got[2] < -90
+
+
 def test_score_bears_odd_rows(odd):
     rows = lattice.score(odd).collect()
     assert len(rows) == 9 and len({(r.doc_id, r.log_prob) for r in rows if r.doc_id == 5}) == 1
@@ -148,6 +173,45 @@ def test_language_bundles_are_sums_of_bound_letters():
     assert (got[0] == want).all() and n.tolist() == [4, 0, 0] and not got[1:].any()
 
 
+def brute_language(text: str, protos: dict[str, np.ndarray]) -> tuple[str, float]:
+    """Bundle by a sum over all places of a text, then the best cosine that is large enough."""
+    v = langid.Vectors(len(next(iter(protos.values()))), langid.GRAM)
+    plain = " " + " ".join("".join(c.lower() if c.isalpha() else " " for c in text or "").split()) + " "
+    grams = [plain[i : i + 3] for i in range(len(plain) - 2)] if plain.strip() else []
+    if not grams:
+        return "und", 0.0
+    one = lambda g: np.prod([v.char(ord(c))[2 - k].astype(int) for k, c in enumerate(g)], 0)
+    sums = sum(one(g) for g in grams).astype(float)
+    cos = {k: float(sums @ p / np.linalg.norm(sums) / np.linalg.norm(p)) for k, p in protos.items()}
+    best = max(sorted(cos), key=lambda k: round(cos[k], 6))
+    return best if cos[best] >= langid.MIN_COSINE * np.sqrt(len(grams) / (len(grams) + langid.HALF)) else "und", cos[best]
+
+
+def test_decisions_against_brute_force(spark, documents, rng):
+    train = documents([(i, prose(rng, 60, la), la, "s") for la in WORDS for i in range(30)])
+    protos = langid.prototypes(train, dimension=256)
+    protos["zz"] = protos["en"] * 2.0  # of equal cosines the first by name
+    texts = [prose(rng, n, la) for la in WORDS for n in (1, 2, 5, 40)] + ["", "!!", "xqzk wvvw jjq", "a", "Ünïcödé", None]
+    for r in langid.identify(documents(texts), protos, dimension=256).collect():
+        want, cosine = brute_language(texts[r.doc_id], protos)
+        assert r.language == want and r.cosine == pytest.approx(cosine, abs=1e-4) and r.language != "zz"
+
+
+def test_prototypes_take_the_same_jobs_for_any_partitions(spark, documents, rng):
+    """A text repeated often is in the sample once, and no job is run for each partition."""
+    rows = [(i, prose(rng, 30, la), la, "s") for la in WORDS for i in range(40)]
+    docs, found, jobs = documents(rows + [(9, rows[0][1], "en", "s")] * 3000), [], []
+    for parts in (3, 60):
+        spark.sparkContext.setJobGroup(f"protos{parts}", "")
+        found.append(langid.prototypes(docs.repartition(parts), per_language=200))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"protos{parts}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] < 12
+    assert all(np.allclose(found[0][k], found[1][k]) for k in WORDS)
+    many = langid.prototypes(spark.createDataFrame([(prose(rng, 5), f"x{i}") for i in range(2000)], "text string, lang string"), dimension=64)
+    assert len(many) == 2000
+
+
 def test_languages_of_held_out_texts(spark, documents, rng):
     train = documents([(i, prose(rng, 80, la), la, "s") for i, la in enumerate(list(WORDS) * 30)])
     protos = langid.prototypes(train)

@@ -314,6 +314,48 @@ def test_rare_source_gets_pseudo_labels(spark, documents, rng):
     assert model.meta.b[at] < 0
 
 
+def test_rounds_against_plain_selection(spark, documents, rng):
+    """The rounds over a written table give the model that sorting all sure rows by hand gives."""
+    docs, labels = labelled(spark, documents, rng, 300)
+    docs = docs.union(docs.limit(20))  # copies
+    y = {r.doc_id: r.quality for r in labels.filter("doc_id < 120").collect()}
+    model = cotrain.fitted(docs, labels.filter("doc_id < 120"), pool=60, rounds=3, sure=0.8)
+    table = docs.toPandas()
+    batch = pa.RecordBatch.from_pydict({c: table[c].tolist() for c in ("doc_id", "text", *cotrain.META)} | {"y": pa.array([y.get(i) for i in table.doc_id], pa.int32())})
+    rows = sorted({r["key"]: r for b in cotrain._features([batch]) for r in b.to_pylist()}.values(), key=lambda r: r["key"] % (1 << 64))
+    every = [r for b in cotrain._features([batch]) for r in b.to_pylist() if r["y"] is None]
+    x = {k: np.array([np.frombuffer(r[k], np.float32) for r in rows]) for k in ("tx", "mx")}
+    label = np.array([-1 if r["y"] is None else r["y"] for r in rows])
+    own = np.flatnonzero(label >= 0)
+    held, train = own[np.arange(len(own)) % 10 < 3], own[np.arange(len(own)) % 10 >= 3]
+    rest = {k: np.array([np.frombuffer(r[k], np.float32) for r in every]) for k in x}
+    fit = [cotrain.View(cotrain.sums(rest[k]) + cotrain.sums(x[k][train])) for k in ("tx", "mx")]
+    share, most = label[train].mean(), max(2, min(len(every), 60) // 6)
+
+    def choose(fit, given):
+        for k, (a, b) in enumerate((("tx", "mx"), ("mx", "tx"))):
+            p = cotrain.sigmoid(fit[k].logit(rest[a]))
+            for stratum in {r["stratum"] for r in every}:
+                n = sum(r["stratum"] == stratum for r in every)
+                for kind, q, part in ((1, p, share), (0, 1 - p, 1 - share)):
+                    sure = sorted({(-q[i], r["key"]) for i, r in enumerate(every) if r["stratum"] == stratum and q[i] >= 0.8 and r["key"] not in given[1 - k]})
+                    for _, key in sure[: max(cotrain.LEAST, round(most * part * n / len(every)))]:
+                        yield k, key, kind, next(rest[b][i] for i, r in enumerate(every) if r["key"] == key)
+
+    want = cotrain.exchange((x["tx"][train], x["mx"][train]), label[train], (x["tx"][held], x["mx"][held]), label[held].astype(float), fit, choose, 3)
+    assert np.allclose(model.text.b, want.text.b, atol=1e-3) and np.allclose(model.meta.b, want.meta.b, atol=1e-3) and np.allclose(model.combine, want.combine, atol=1e-2)
+
+
+def test_labelled_sample_is_bounded(spark, documents, rng, monkeypatch):
+    """A labelled ``doc_id`` of many rows, and many rows without one, bring no more rows to the driver than stated."""
+    docs, labels = labelled(spark, documents, rng, 120)
+    many = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, 2).cast("long").alias("doc_id"), F.concat(F.lit("river stone garden "), "id").alias("text"), F.lit("en").alias("lang"), F.lit("hot").alias("source"), F.lit(20).cast("long").alias("n_chars"))
+    seen = []
+    monkeypatch.setattr(cotrain, "_arrays", lambda t, *a, real=cotrain._arrays: (seen.append(t.num_rows), real(t, *a))[1])
+    model = cotrain.fitted(docs.unionByName(many), labels, labelled=100)
+    assert model is not None and 100 < max(seen) <= 200
+
+
 def test_each_view_learns_from_the_other():
     """Few labels, and a pool on which each view is sure of other rows."""
     rng = np.random.default_rng(0)
