@@ -72,7 +72,11 @@ def unwrap(c: Column) -> Column:
 def protect(c: Column, abbreviations=Profile().abbreviations) -> Column:
     """The full stop of an abbreviation is set aside; the spelling becomes the listed one."""
     longest = sorted(abbreviations, key=len, reverse=True)
-    return reduce(lambda x, a: F.regexp_replace(x, rf"(?i){EDGE}{re.escape(a)}\.", a + DOT), longest, c)
+    any_of = f"{EDGE}({'|'.join(map(re.escape, longest))})\\."
+    # one pass where all are spelled as listed; the rare text with another spelling takes a pass for each
+    plain = F.regexp_replace(c, any_of, f"$1{DOT}")
+    each = lambda x: reduce(lambda x, a: F.regexp_replace(x, rf"(?i){EDGE}{re.escape(a)}\.", a + DOT), longest, x)
+    return F.when(plain.rlike(f"(?i){any_of}"), each(plain)).otherwise(plain) if longest else c
 
 
 def restore(c: Column) -> Column:

@@ -106,6 +106,21 @@ def from_json(text: str) -> tuple[Profile, Toggles]:
     return Profile(**tuples), Toggles(**x["toggles"])
 
 
+#: Settings of a file, by the switch that they turn.
+SETTINGS = {"remove_urls": "urls", "remove_emails": "emails", "filter_single_chars": "singles", "fix_hyphenation": "hyphenation", "normalize_whitespace": "whitespace", "normalize_unicode": "unicode", "normalize_punctuation": "punctuation", "process_ocr_artifacts": "ocr", "protect_citations": "abbreviations"}
+
+
+def synced(on: Toggles, least: int, most: int, settings: dict, default: tuple[int, int] = (3, 1000)) -> tuple[Toggles, int, int]:
+    """Switches and sentence bounds with a file's global settings; what differs from the defaults was chosen, and stays."""
+    if on == Toggles():
+        on = replace(on, **{k: bool(settings[s]) for s, k in SETTINGS.items() if s in settings})
+        if "preserve_bible_text" in settings:
+            on = replace(on, verses=not settings["preserve_bible_text"])
+    if (least, most) == default:
+        least, most = int(settings.get("min_sentence_length", least)), int(settings.get("max_sentence_length", most))
+    return on, least, most
+
+
 @dataclass
 class Found:
     """First value that isn't None among several paths of a nested mapping."""

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .cleaning import DOT, protect, strip
+from .cleaning import DOT, protect, strip, unicode
 from .profiles import Profile
 
 CUT, LEAST, MOST = "\u0001", 3, 1000
@@ -47,6 +47,29 @@ def app_sentences(c: Column) -> Column:
     return F.when(F.size(blocks) > 1, blocks).otherwise(clean(F.split(c, r"(?<=[.!?。])[ \t\r\n]+")))
 
 
+def normalised(c: Column, corrections: dict[str, str] | None = None, noise: str = "\u00ad\u200b\u200c\u200d\ufeff") -> Column:
+    """What comes before tokens: NFC, literal corrections, the longest first, and characters of no meaning dropped."""
+    out = unicode(c)
+    for k in sorted(corrections or {}, key=lambda k: (-len(k), k)):
+        out = F.replace(out, F.lit(k), F.lit(corrections[k]))
+    return F.translate(out, noise, "") if noise else out
+
+
+def boundary_tokens(c: Column, boundary: str = r"\s+") -> Column:
+    """Tokens between the boundaries of a grammar (``g_tokenization.boundary``); punctuation stays where it is."""
+    return F.filter(F.split(c, boundary), lambda w: w != "")
+
+
+def sentence_ids(sentences: DataFrame, prefix: str, order: list[str]) -> DataFrame:
+    """Sentences that aren't blank with ``sent_id``: the prefix, the keys of ``order`` but for the last, and a number of six digits from 1 by the last one.
+
+    Numbers count within the keys, never over the whole table, so that no task sees more than one document.
+    """
+    keys, last = order[:-1], order[-1]
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(last))
+    return sentences.filter(F.trim("sentence") != "").withColumn("sent_id", F.concat_ws("-", F.lit(prefix), *(F.col(k).cast("string") for k in keys), F.lpad(n.cast("string"), 6, "0")))
+
+
 def words(c: Column) -> Column:
     """White-space tokens."""
     return F.filter(F.split(c, r"[ \t\r\n]+"), lambda w: w != "")

@@ -1,7 +1,6 @@
 """Grammars: three layouts read into one, checked, and given as small dimension tables.
 
-Everything here is of a grammar's size and happens on the driver; the tables join as broadcasts because
-Catalyst sees how small they are.
+Everything here is of a grammar's size and happens on the driver.
 """
 
 from __future__ import annotations
@@ -42,6 +41,12 @@ class UnresolvedFlags(GrammarError):
     pass
 
 
+class NotFound(GrammarError, KeyError):
+    """No such entry; the message names those that there are."""
+
+    __str__ = GrammarError.__str__
+
+
 def semver(text: str) -> tuple[int, int, int]:
     """Three numbers, padded with zeros."""
     if not re.fullmatch(r"\d+(\.\d+){0,2}", str(text)):
@@ -107,6 +112,16 @@ def _form(x) -> str:
     return str(x or "").strip("-∅").replace("-", "")
 
 
+def forms(x) -> list[str]:
+    """Every form of an entry, its allomorphs too, without hyphens; markers of an empty form don't count."""
+    if isinstance(x, dict):
+        own = _first(x, "form", "forms", "prefix", "marker", "canonical_form", default=[])
+        x = [*(own if isinstance(own, (list, tuple)) else [own]), *(x.get("allomorphs") or [])]
+    elif not isinstance(x, (list, tuple)):
+        x = [x]
+    return list(dict.fromkeys(f for f in (_form(y) for y in x) if f))
+
+
 def _items(x) -> list[tuple[str, dict]]:
     """A mapping or a list of entries with ids as pairs."""
     if isinstance(x, dict):
@@ -124,6 +139,7 @@ def canonical(data: dict) -> dict:
         "metadata": {k: str(v) for k, v in (inner.get("metadata") or {}).items() if not isinstance(v, (dict, list))},
         "noun_classes": _items(_first(inner, "noun_classes", default=_first(nouns, "noun_classes", "classes", default={}))),
         "concords": {k: {n: _form(f) for n, f in _items(v if not isinstance(v, dict) else v.get("concords", v))} for k, v in _first(inner, "concords", default=_first(concords, "concords", default={})).items() if k not in ("notes", "note")},
+        "concord_forms": {k: {n: forms(f) for n, f in _items(v if not isinstance(v, dict) else v.get("concords", v))} for k, v in stripped(_first(inner, "concords", default=_first(concords, "concords", default={}))).items() if k not in ("notes", "note")},
         "tam": _items(_first(inner, "tam", "tam_markers", default=_first(parts, "tam", "tam_markers", default={}))),
         "extensions": _items(_first(inner, "extensions", "verb_extensions", default=_first(parts, "derivational_extensions", "extensions", default={}))),
         "slots": _items(_first(inner, "slots", "verb_slots", default=_first(verbs, "verb_slots", "slots", default={}))),
@@ -195,6 +211,18 @@ def rows(lang: str, data: dict) -> dict[str, list[tuple]]:
     }
 
 
+def annotation_tables(data: dict) -> dict[str, list[tuple[str, list[str]]]]:
+    """For annotation, every form and allomorph by key: subjects, objects, tenses (nested ones as ``KEY.SUB``), extensions and classes."""
+    g = canonical(data)
+    tam = []
+    for n, v in g["tam"]:
+        own = forms(v)
+        tam += [(n, own)] if own else [(f"{n}.{k}", forms(w)) for k, w in v.items() if isinstance(w, dict) and forms(w)]
+    concords = lambda kind: [(n, f) for k, entries in g["concord_forms"].items() if k.startswith(kind) for n, f in entries.items()]
+    classes = [(n, forms(v) or [""]) for n, v in sorted(g["noun_classes"], key=lambda x: natural(x[0]))]
+    return {"subjects": concords("subject_concord"), "objects": concords("object_concord"), "tam": tam, "extensions": [(n, forms(v)) for n, v in g["extensions"]], "classes": classes}
+
+
 def content(kind: str) -> str:
     """Content type of a slot: the last part of a dotted name, concords in the singular."""
     last = kind.split(".")[-1]
@@ -223,6 +251,74 @@ def eav(lang: str, own: dict[str, list[tuple]]) -> list[tuple]:
     return out
 
 
+def noun_class(data: dict, nc: str) -> dict:
+    """One class as a mapping of the columns of ``g_noun_class``; an unknown one raises."""
+    names = [c.split()[0] for c in TABLES["g_noun_class"].split(", ")]
+    every = {r[1]: dict(zip(names, r)) for r in rows("", data)["g_noun_class"]}
+    if nc not in every:
+        raise NotFound(f"no class {nc}; known: {', '.join(every)}")
+    return every[nc]
+
+
+def concords(data: dict, kind: str) -> dict[str, str]:
+    """Forms of one concord type by key; an unknown type raises."""
+    every: dict[str, dict[str, str]] = {}
+    for _, k, key, _, form in rows("", data)["g_concord"]:
+        every.setdefault(k, {})[key] = form
+    if kind not in every:
+        raise NotFound(f"no concord type {kind}; known: {', '.join(every)}")
+    return every[kind]
+
+
+def overlaid(data: dict, other: dict) -> dict:
+    """``data`` with what ``other`` says anew about the forms of its tenses and about negation; neither is changed.
+
+    A tense of ``other`` counts only where ``data`` has it; its first form replaces the marker. ``negation`` and ``negation_infix`` are added as
+    the first forms given under ``negation_pre.present`` and ``negation_infix.negative``.
+    """
+    inner = next((v for v in other.values() if len(other) == 1 and isinstance(v, dict)), other)
+    parts = (inner.get("verb_system") or {}).get("verbal_system_components") or inner.get("verb_system") or inner
+    own = {n: dict(v) for n, v in canonical(data)["tam"]}
+    for n, v in _items(_first(parts, "tam", "tam_markers", default={})):
+        if n in own and forms(v):
+            own[n]["form"] = forms(v)[0]
+    out = {**data, "tam": own}
+    for key, path in (("negation", ("negation_pre", "present")), ("negation_infix", ("negation_infix", "negative"))):
+        found = forms((parts.get(path[0]) or {}).get(path[1]) or {})
+        if found:
+            out[key] = found[0]
+    return out
+
+
+class Registry:
+    """Grammars by language, read when first asked for; whatever is made of one is kept by (language, name)."""
+
+    def __init__(self, paths: dict[str, str], names: dict[str, tuple[str, ...]] | None = None):
+        self.paths, self.alias = dict(paths), aliases({**{k: () for k in paths}, **(names or {})})
+        self._made: dict[tuple[str, str], object] = {}
+
+    def languages(self) -> list[str]:
+        return sorted(self.paths)
+
+    def resolve(self, name: str) -> str:
+        lang = self.alias.get(name.strip().lower())
+        if lang not in self.paths:
+            raise UnknownLanguage(f"no grammar of {name}; known: {', '.join(self.languages())}")
+        return lang
+
+    def get(self, name: str, what: str = "grammar", make=None):
+        """The grammar itself, or ``make(grammar)``, made once."""
+        lang = self.resolve(name)
+        if (lang, what) not in self._made:
+            self._made[lang, what] = load(self.paths[lang]) if what == "grammar" else make(self.get(lang))
+        return self._made[lang, what]
+
+    def forget(self, name: str | None = None) -> None:
+        gone = [k for k in self._made if name is None or k[0] == self.resolve(name)]
+        for k in gone:
+            del self._made[k]
+
+
 def load(source: str | dict, strict: bool = False, lang: str | None = None) -> dict:
     """A checked grammar from a path or a mapping; errors raise."""
     data = read(source) if isinstance(source, str) else source
@@ -350,6 +446,7 @@ SISTER = LEXEME | {
     "phonology": {"vowels": list("aeiouö"), "consonants": ["b", "c", "d", "n", "r", "t"], "nasal_prefixes": ["n-", "m-"], "tone_system": "high-low"},
 }
 GRAMMARS = {"lexa": LEXEME, "lexb": SISTER}
+AUGMENTS = ("o", "e")
 NEGATION, FINAL_VOWELS, LOCATIVE = ("un", "in"), (("e", "IND"), ("ing", "PROG"), ("nd", "PERF"), ("a", "IND"), ("i", "NEG")), ("NC16", "NC17", "NC18")
 VERB_ROOTS = {"at": ("throw", True), "on": ("go", True), "ti": ("say", False), "ble": ("can", True), "re": ("see", False), "or": ("pray", True), "ent": ("enter", True), "th": ("be", False)}
 NOUN_STEMS = {"tion": ("act", "NC3", True), "ea": ("water", "NC1", True), "or": ("word", "NC4", False), "es": ("village", "NC8", True), "ed": ("day", "NC2", True), "ha": ("child", "NC1", True)}

@@ -229,6 +229,12 @@ def violations(a: DataFrame, t: dict[str, DataFrame], lang: str, rules: dict) ->
     return reduce(DataFrame.unionByName, found)
 
 
+def extension_order(cases: DataFrame, t: dict[str, DataFrame], lang: str, rules: dict) -> DataFrame:
+    """Broken rules of bare lists of extensions (``case_id, ids``): unknown ids, order, number, pairs that don't go together."""
+    a = cases.select("case_id", F.posexplode("ids").alias("idx", "gloss")).select("case_id", "idx", F.lit("EXT").alias("slot_id"), F.lit("extension").alias("content_type"), F.col("gloss").alias("form"), "gloss", F.lit(None).cast("string").alias("nc"))
+    return violations(a, t, lang, rules).filter("rule like 'EXT%' or rule = 'INVALID_EXTENSION'")
+
+
 def slot_coverage(a: DataFrame) -> DataFrame:
     return a.groupBy("slot_id").agg(F.count("*").alias("n"), F.count_distinct("case_id").alias("cases"))
 

@@ -29,8 +29,8 @@ def pieces(s: str) -> str:
     return f"CASE {' '.join(cases)} ELSE [{s}] END"
 
 
-def sentences(x: str) -> str:
-    cut = f"string_split(regexp_replace({K.protect(x)}, '([.!?:;])', '\\1' || chr(1), 'g'), chr(1))"
+def sentences(x: str, p=K.ALL) -> str:
+    cut = f"string_split(regexp_replace({K.protect(x, p)}, '([.!?:;])', '\\1' || chr(1), 'g'), chr(1))"
     whole = f"list_filter(list_transform({cut}, lambda s: {K.strip(K.restore('s'))}), lambda s: length(s) >= {S.LEAST})"
     return f"flatten(list_transform({whole}, lambda s: CASE WHEN length(s) > {S.MOST} THEN {pieces('s')} ELSE [s] END))"
 
@@ -164,3 +164,36 @@ def corpus_cube(spark, sf_dir):
     d = documents(spark, sf_dir).filter("lang is not null and source is not null")
     c = d.cube("lang", "source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
     return c.select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("source", F.lit("all")).alias("source"), "documents", "chars")
+
+
+_FIXES = {"tbe": "the", "rn": "m", "th": "þ"}
+_FIXED = "nfc_normalize(text)"
+for _k in sorted(_FIXES, key=lambda k: (-len(k), k)):
+    _FIXED = f"replace({_FIXED}, {Q(_k)}, {Q(_FIXES[_k])})"
+
+
+@query(f"SELECT doc_id, length(t)::BIGINT AS chars, md5(t) AS digest FROM (SELECT doc_id, {_FIXED} AS t FROM documents)")
+def token_normalise(spark, sf_dir):
+    """What comes before tokens: NFC, literal corrections, noise."""
+    t = S.normalised(F.col("text"), _FIXES)
+    return documents(spark, sf_dir).select("doc_id", F.length(t).cast("long").alias("chars"), F.md5(t).alias("digest"))
+
+
+@query("SELECT doc_id, len(w)::BIGINT AS tokens, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, list_filter(string_split_regex(text, '[\\s,]+'), lambda w: w <> '') AS w FROM documents)")
+def tokenize_boundary(spark, sf_dir):
+    """Tokens between a grammar's own boundaries."""
+    w = S.boundary_tokens(F.col("text"), r"[\s,]+")
+    return documents(spark, sf_dir).select("doc_id", F.size(w).cast("long").alias("tokens"), F.md5(F.array_join(w, " ")).alias("digest"))
+
+
+@query(f"SELECT doc_id, concat_ws('-', 'doc', doc_id::VARCHAR, lpad(n::VARCHAR, 6, '0')) AS sent_id, md5(sentence) AS digest FROM ({exploded(app_sentences('text'))})")
+def sentence_ids(spark, sf_dir):
+    s = S.sentence_ids(S.exploded(documents(spark, sf_dir), S.app_sentences(F.col("text"))), "doc", ["doc_id", "n"])
+    return s.select("doc_id", "sent_id", F.md5("sentence").alias("digest"))
+
+
+@query(f"SELECT doc_id, CASE WHEN len(w) = 0 THEN 'NONE' WHEN m >= 2.5 THEN 'HIGH' WHEN m >= 1.5 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM (SELECT doc_id, w, list_avg(list_transform(w, lambda x: CASE WHEN length(x) > 8 THEN 3 WHEN length(x) > 4 THEN 2 ELSE 1 END)) AS m FROM (SELECT doc_id, {words('text')} AS w FROM documents WHERE text IS NOT NULL))")
+def confidence_levels(spark, sf_dir):
+    """Mean level of a document's words, long ones being sure."""
+    w = F.transform(S.words(F.col("text")), lambda x: F.when(F.length(x) > 8, "HIGH").when(F.length(x) > 4, "MEDIUM").otherwise("LOW"))
+    return documents(spark, sf_dir).filter("text is not null").select("doc_id", T.confidence(w).alias("level"))

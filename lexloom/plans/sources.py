@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import segment as SEG
 from ..operators import stats
 from ..sources import files as S
 from ..sources import sinks
 from ..streaming import incremental
+from . import morph as MORPH
 from .clean import strip, sub
 from .registry import query, quoted, table
 
@@ -46,26 +48,69 @@ def srt_extract(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(S.subtitle_text(subtitles)).alias("digest"))
 
 
-@query("SELECT page_id, CASE regexp_extract(lower(url), '\\.([a-z0-9]+)$', 1) WHEN 'html' THEN 'html' WHEN '' THEN NULL ELSE 'other' END AS kind FROM pages")
+_EXT = "CASE WHEN doc_id % 4 = 0 THEN 'html' WHEN doc_id % 4 = 1 THEN 'md' WHEN doc_id % 4 = 2 THEN 'TXT' ELSE 'xyz' END"
+
+
+@query(f"SELECT doc_id, ext, md5(CASE WHEN ext = 'html' THEN {html_sql('text')} WHEN ext = 'md' THEN {strip(sub('text', r'[#*_`\[\]()]', ''))} ELSE text END) AS digest FROM (SELECT doc_id, text, lower({_EXT}) AS ext FROM documents WHERE doc_id IS NOT NULL)")
 def format_dispatch(spark, sf_dir):
-    ext = S.extension(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", F.when(ext == "", None).when(ext == "html", "html").otherwise("other").alias("kind"))
+    """Every text as if it came from files of four kinds."""
+    path = F.concat(F.lit("/in/f."), F.expr("element_at(array('html', 'md', 'TXT', 'xyz'), cast(doc_id % 4 as int) + 1)"))
+    d = table(spark, sf_dir, "documents").filter("doc_id is not null").select("doc_id", "text", S.extension(path).alias("ext"))
+    return d.select("doc_id", "ext", F.md5(S.dispatch(F.col("ext"), F.col("text"))).alias("digest"))
+
+
+@query("SELECT doc_id, 'name n' || chr(10) || coalesce(lang, '') || CASE WHEN coalesce(lang, '') <> '' THEN ' ' ELSE '' END || 'a, b' AS csv FROM documents WHERE lang IS NULL OR NOT contains(lang, ',')")
+def csv_extract(spark, sf_dir):
+    """Cells of CSV text that aren't numbers."""
+    d = table(spark, sf_dir, "documents").filter("lang is null or not contains(lang, ',')")
+    text = F.concat(F.lit("name,n\n"), F.coalesce("lang", F.lit("")), F.lit(",12,\"a, b\",-1.5\n\n"))
+    return d.select("doc_id", S.csv_text(text).alias("csv"))
+
+
+_MORPHS = " + ".join(f"CASE WHEN length({c}) > 0 THEN 1 ELSE 0 END" for c in ("neg", "sm", "tam", "om", "root", "ext", "fv"))
 
 
-@query("SELECT conv_id, len(list(turn))::INT AS n_tokens, array_to_string(list(turn || ':' || role ORDER BY turn), ' ') AS roles FROM conversations GROUP BY conv_id")
+@query(
+    f"WITH {MORPH._WITH} SELECT doc_id, sent, count(*)::INT AS n_tokens, count(CASE WHEN type = 'word' AND NOT lex THEN 1 END)::BIGINT AS oov, md5(string_agg(concat_ws('/', form, lemma, upos, coalesce(nc, '-'), CASE WHEN feats = '' THEN 0 ELSE len(string_split(feats, '|')) END, CASE WHEN score IS NOT NULL THEN {_MORPHS} WHEN nc IS NOT NULL THEN 2 - CASE WHEN length(stem) = length(low) THEN 1 ELSE 0 END ELSE 0 END), ' ' ORDER BY pos)) AS digest FROM t GROUP BY doc_id, sent"
+)
 def jsonl_rows(spark, sf_dir):
-    """Sentence objects as JSON, read again."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), "role")
-    rows = sinks.jsonl_rows(t, ["conv_id"])
-    back = rows.select(F.from_json("value", "conv_id long, n_tokens int, tokens array<struct<pos:long,role:string>>").alias("x")).select("x.*")
-    return back.select("conv_id", "n_tokens", F.array_join(F.transform("tokens", lambda x: F.concat(x["pos"].cast("string"), F.lit(":"), x["role"])), " ").alias("roles"))
+    """Annotated sentences as JSON objects, read again."""
+    d = table(spark, sf_dir, "documents")
+    s = SEG.exploded(d, SEG.app_sentences(F.col("text")), ("doc_id", "lang", "source"), "text").withColumnRenamed("n", "sent")
+    rows = sinks.sentence_lines(MORPH.tagged(spark, sf_dir), s, ["doc_id", "sent"])
+    x = F.from_json("value", "sent_id string, stats struct<oov:long>, tokens array<struct<form:string,lemma:string,upos:string,noun_class:string,feats:map<string,string>,morphemes:array<struct<form:string>>>>")
+    token = lambda t: F.concat_ws("/", t["form"], t["lemma"], t["upos"], F.coalesce(t["noun_class"], F.lit("-")), F.size(t["feats"]).cast("string"), F.size(t["morphemes"]).cast("string"))
+    back = rows.select("doc_id", "sent", x.alias("x"))
+    return back.select("doc_id", "sent", F.size("x.tokens").alias("n_tokens"), F.col("x.stats.oov").alias("oov"), F.md5(F.array_join(F.transform("x.tokens", token), " ")).alias("digest"))
+
+
+_KNOWN_DE = "CASE WHEN lang = 'de' THEN {0} ELSE {1} END"
+
+
+def _report_sql() -> str:
+    from ..functions.profiles import Profile, profiles
+    from . import clean as K
+    from . import segment as P
+
+    own = profiles()["de"]
+    clean = lambda p: K.chain("text", p)
+    parts = lambda p: P.sentences("cleaned", p)
+    base = Profile()
+    return f"""WITH c AS (SELECT doc_id, lang, text, {_KNOWN_DE.format(clean(own), clean(base))} AS cleaned FROM documents), s AS (SELECT *, {_KNOWN_DE.format(parts(own), parts(base))} AS p FROM c),
+    r AS (SELECT text IS NOT NULL AND cleaned <> '' AND len(p) > 0 AS success, coalesce(length(text), 0) AS a, coalesce(length(cleaned), 0) AS z, coalesce(len(p), 0) AS n, coalesce(list_sum(list_transform(p, lambda x: len({P.words('x')}))), 0) AS w FROM s)
+    SELECT count(*) AS files, count(CASE WHEN success THEN 1 END) AS done, count(CASE WHEN success THEN NULL ELSE 1 END) AS failed, sum(n)::BIGINT AS sentences, sum(w)::BIGINT AS words, round(done * 100 / files, 2)::DOUBLE AS success_pct, round((sum(a) - sum(z)) * 100 / sum(a), 2)::DOUBLE AS reduction_pct, round(sum(n) / done, 2)::DOUBLE AS per_file, round(sum(w) / sum(n), 2)::DOUBLE AS words_per_sentence FROM r"""
 
 
-@query("SELECT count(*) AS files, sum(CASE WHEN length(text) > 100 THEN 1 ELSE 0 END)::BIGINT AS done, sum(CASE WHEN length(text) > 100 THEN 0 ELSE 1 END)::BIGINT AS failed, sum(n_chars)::BIGINT AS chars FROM documents")
+@query(_report_sql())
 def run_report(spark, sf_dir):
-    """Counters of a run in which short documents failed."""
-    d = table(spark, sf_dir, "documents").select((F.length("text") > 100).alias("success"), F.col("n_chars").alias("chars_before"), F.col("n_chars").alias("chars_after"), F.lit(1).alias("sentences"), F.col("n_chars").alias("words"))
-    return stats.run_report(d).select("files", "done", "failed", F.col("words").alias("chars"))
+    """The corpus builder's counters and ratios, each document as a file of its language."""
+    from ..functions.profiles import Profile, profiles
+    from ..sources import corpus
+
+    d = table(spark, sf_dir, "documents").select(F.concat_ws("/", F.lit("/in"), F.coalesce("lang", F.lit("x")), F.coalesce(F.col("doc_id").cast("string"), F.lit("x"))).alias("path"), "text", F.lit(None).cast("string").alias("error"))
+    known = {"de": profiles()["de"]}
+    rows = corpus.processed(d, known, Profile()).withColumn("sentences", F.greatest(F.size("sentences"), F.lit(0)))
+    return stats.run_report(rows)
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -92,8 +92,21 @@ def unpacked(content: bytes, ext: str) -> str:
             root = ElementTree.fromstring(z.read("word/document.xml"))
             w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
             return "\n".join("".join(t.text or "" for t in p.iter(w + "t")) for p in root.iter(w + "p"))
-        pages = sorted(n for n in z.namelist() if re.search(r"\.x?html?$", n))
-        return "\n".join(page_text(z.read(n).decode("utf-8", "replace")) for n in pages)
+        return "\n".join(page_text(z.read(n).decode("utf-8", "replace")) for n in _spine(z))
+
+
+def _spine(z: zipfile.ZipFile) -> list[str]:
+    """Pages of an epub in reading order; by name where the book doesn't tell it."""
+    names = [n for n in z.namelist() if re.search(r"\.x?html?$", n)]
+    book = next((n for n in z.namelist() if n.endswith(".opf")), None)
+    if book is None:
+        return sorted(names)
+    root, folder = ElementTree.fromstring(z.read(book)), book.rpartition("/")[0]
+    local = lambda name: [x for x in root.iter() if x.tag.rpartition("}")[2] == name]
+    of = {x.get("id"): "/".join(filter(None, (folder, x.get("href", "")))) for x in local("item")}
+    order = [of.get(x.get("idref")) for x in local("itemref")]
+    order = [n for n in dict.fromkeys(order) if n in names]
+    return order + sorted(set(names) - set(order))
 
 
 def decoded(content: bytes) -> str:
@@ -113,7 +126,7 @@ def _decode(content: pa.Array, ext: pa.Array) -> pa.Array:
     for c, e in zip(content.to_pylist(), ext.to_pylist()):
         try:
             out.append({"text": None if c is None else unpacked(c, e) if SUFFIXES.get(e) == "archive" else decoded(c), "error": None})
-        except (KeyError, ValueError, zipfile.BadZipFile, ElementTree.ParseError) as error:
+        except Exception as error:  # an archive can be damaged in any way; the row says how
             out.append({"text": None, "error": f"{type(error).__name__}: {error}"})
     return pa.array(out, pa.struct([("text", pa.string()), ("error", pa.string())]))
 
@@ -176,10 +189,44 @@ def sentences_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce("x.sent_id", "x.id").alias("sent_id"), F.col("x.lang_iso").alias("lang"), F.col("x.text").alias("text"), "path").filter(F.trim("text") != "")
 
 
+READERS = {"txt": sentences_txt, "json": sentences_json, "jsonl": sentences_jsonl}
+
+
+def sentences_of(spark: SparkSession, path: str) -> DataFrame:
+    """``sent_id, lang, text, path`` of all ``.txt``, ``.json`` and ``.jsonl`` files under a folder, or of one such file."""
+    from pyspark.errors import AnalysisException
+
+    out = None
+    for ext, reader in READERS.items():
+        if re.search(r"\.[A-Za-z0-9]+$", path.rstrip("/")) and not path.lower().endswith(f".{ext}"):
+            continue
+        try:
+            files = reader(_Only(spark, ext), path)
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            continue
+        out = files if out is None else out.unionByName(files)
+    if out is None:
+        raise ValueError(f"no .txt, .json or .jsonl file: {path}")
+    return out
+
+
+class _Only:
+    """A session whose reads take the files of one suffix, in all folders below."""
+
+    def __init__(self, spark: SparkSession, ext: str):
+        self.spark, self.ext = spark, ext
+
+    @property
+    def read(self):
+        return self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{self.ext}")
+
+
 def conllu(spark: SparkSession, path: str) -> DataFrame:
     """``sent_id, pos, form, lemma, upos, xpos, feats, head, deprel, deps, misc``; ``_`` is null."""
-    blocks = spark.read.option("lineSep", "\n\n").text(path).filter(F.trim("value") != "")
-    lines = blocks.select(F.regexp_extract("value", r"(?m)^# sent_id = (.+)$", 1).alias("sent_id"), F.explode(F.split("value", "\n")).alias("line")).filter("line <> '' and not startswith(line, '#')")
+    blocks = spark.read.option("lineSep", "\n\n").text(path).select(F.explode(F.split("value", r"\r\n[ \t]*\r\n")).alias("value")).filter(F.trim("value") != "")
+    lines = blocks.select(F.regexp_extract("value", r"(?m)^# sent_id = ([^\r\n]+)", 1).alias("sent_id"), F.explode(F.split("value", "\r?\n")).alias("line")).filter("line <> '' and not startswith(line, '#')")
     names = ("pos", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc")
     cells = F.split("line", "\t")
     value = lambda i: F.try_element_at(cells, F.lit(i + 1))

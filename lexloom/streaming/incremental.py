@@ -12,25 +12,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import cleaning as C
 from ..functions import segment as S
-from ..functions.profiles import Profile
+from ..functions.profiles import Profile, Toggles
 from ..sources.files import extracted
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
-def sentences_of(files: DataFrame, profile: Profile = Profile()) -> DataFrame:
-    """``path, n, sentence`` of files' rows."""
-    text = C.whitespace(C.emails(C.urls(C.punctuation(F.col("text"), profile.punctuation))))
-    rows = extracted(files).filter("text is not null").select("path", text.alias("text"))
+def sentences_of(files: DataFrame, profile: Profile = Profile(), on: Toggles = Toggles()) -> DataFrame:
+    """``path, n, sentence`` of files' rows, cleaned by the whole chain."""
+    rows = extracted(files).filter("text is not null").select("path", C.chain(F.col("text"), profile, on).alias("text"))
     return rows.select("path", F.posexplode(S.sentences(F.col("text"), profile.abbreviations)).alias("n", "sentence")).withColumn("n", F.col("n") + 1)
 
 
-def run(spark: SparkSession, source: str, target: str, checkpoint: str, profile: Profile = Profile(), per_batch: int = 1000) -> StreamingQuery:
+def run(spark: SparkSession, source: str, target: str, checkpoint: str, profile: Profile = Profile(), per_batch: int = 1000, on: Toggles = Toggles()) -> StreamingQuery:
     """Process what is new and end. Call again for what comes later."""
     files = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(source)
 
     def write(batch: DataFrame, number: int) -> None:
-        sentences_of(batch, profile).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        sentences_of(batch, profile, on).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

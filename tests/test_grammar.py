@@ -91,3 +91,42 @@ def test_ud(tables, spark):
     tam = spark.createDataFrame([("A", 1, "PRS"), ("B", 0, "PRS")], "tam_id string, ord int, gloss string")
     got = {r.gloss: r.tam_id for r in P.tam_by_gloss(spark.createDataFrame([("PRS",), ("A",), ("?",)], "gloss string"), tam).collect()}
     assert got == {"PRS": "B", "A": "A", "?": None}
+
+
+def test_lookups_that_raise():
+    assert G.noun_class(G.LEXEME, "NC1")["prefix"] == "th" and G.concords(G.LEXEME, "object_concord")["NC2"] == "ti"
+    with pytest.raises(G.NotFound, match="no class NC99; known: NC1,"):
+        G.noun_class(G.LEXEME, "NC99")
+    with pytest.raises(G.GrammarError, match="no concord type x"):
+        G.concords(G.LEXEME, "x")
+
+
+def test_registry(tmp_path):
+    import yaml
+
+    for name in ("lexa", "lexb"):
+        (tmp_path / f"{name}.yaml").write_text(yaml.safe_dump(G.stripped(G.GRAMMARS[name]), allow_unicode=True))
+    r = G.Registry({n: str(tmp_path / f"{n}.yaml") for n in ("lexa", "lexb")}, {"lexa": ("A",)})
+    made = []
+    classes = lambda g: (made.append(1), len(G.canonical(g)["noun_classes"]))[1]
+    assert r.languages() == ["lexa", "lexb"] and r.get(" a ", "classes", classes) == r.get("lexa", "classes", classes) == len(G.LEXEME["noun_classes"]) and len(made) == 1
+    r.forget("a")
+    assert r.get("lexa", "classes", classes) and len(made) == 2 and r.get("lexa") is r.get("LEXA")
+    with pytest.raises(G.UnknownLanguage):
+        r.get("lexz")
+
+
+def test_overlay():
+    other = {"verb_system": {"verbal_system_components": {"tam": {"PAST": {"forms": ["-ka-", "x"]}, "NEW": {"forms": ["y"]}}, "negation_pre": {"present": {"forms": ["ta-"]}}, "negation_infix": {"negative": {"forms": "-sa-"}}}}}
+    got = G.overlaid(G.LEXEME, other)
+    assert G.rows("", got)["g_tam"][1][3] == "ka" and "NEW" not in got["tam"] and (got["negation"], got["negation_infix"]) == ("ta", "sa")
+    assert G.rows("", G.LEXEME)["g_tam"][1][3] == "ou" and "negation" not in G.LEXEME
+
+
+def test_extension_order(spark):
+    from lexloom.operators import paradigm as P
+
+    t = G.tables(spark, {"lexa": G.LEXEME})
+    cases = spark.createDataFrame([(1, ["APPL", "PASS"]), (2, ["PASS", "APPL"]), (3, ["CAUS", "RECP"]), (4, ["XX"]), (5, [])], "case_id int, ids array<string>")
+    got = {(r.case_id, r.rule) for r in P.extension_order(cases, t, "lexa", G.LEXEME["extension_rules"]).collect()}
+    assert got == {(2, "EXT_ZONE_ORDER"), (2, "EXT_PASS_NOT_FINAL"), (3, "EXT_INCOMPATIBLE"), (4, "INVALID_EXTENSION")}

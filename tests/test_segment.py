@@ -72,3 +72,11 @@ def test_special_spans(spark):
     both = spark.createDataFrame([("ab@cd, ef",)], "t string").select(f("t").alias("s"), S.offsets("t").alias("o"))
     t = both.select(S.special_tokens(F.col("s"), F.col("o")).alias("x")).first().x
     assert [(x.form, x.kind) for x in t] == [("ef", "word")]
+
+
+def test_normalised_boundaries_and_ids(spark):
+    df = spark.createDataFrame([(1, "e\u0301 tbe\u00adtbeme a,b"), (2, None)], "doc_id int, t string")
+    got = df.select(S.normalised(F.col("t"), {"tbe": "the", "tbeme": "theme"}).alias("n"), S.boundary_tokens(F.col("t"), r"[\s,]+").alias("b")).collect()
+    assert got[0].n == "é thetheme a,b" and got[0].b[-2:] == ["a", "b"] and got[1].n is None and got[1].b is None
+    s = spark.createDataFrame([(1, 5, "b"), (1, 2, "a"), (1, 3, " "), (2, 1, "c")], "doc_id int, n int, sentence string")
+    assert sorted((r.sentence, r.sent_id) for r in S.sentence_ids(s, "p", ["doc_id", "n"]).collect()) == [("a", "p-1-000001"), ("b", "p-1-000002"), ("c", "p-2-000001")]
