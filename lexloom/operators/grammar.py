@@ -129,9 +129,17 @@ def _items(x) -> list[tuple[str, dict]]:
     return [(str(_first(v, "id", "name")), v) for v in x or []]
 
 
+SECTIONS = KNOWN | {"verb_system", "noun_class_system", "concord_system", "tam_markers", "verb_extensions", "verb_slots", "derivational_patterns", "extension_rules", "negation", "negation_infix"}
+
+
+def unwrapped(data: dict) -> dict:
+    """What is under a grammar's only key, unless that key names a section itself."""
+    return next((v for k, v in data.items() if len(data) == 1 and isinstance(v, dict) and k not in SECTIONS), data)
+
+
 def canonical(data: dict) -> dict:
     """Wrapped, production and canonical layouts as one."""
-    inner = next((v for v in data.values() if len(data) == 1 and isinstance(v, dict)), data)
+    inner = unwrapped(data)
     verbs = inner.get("verb_system") or {}
     parts = verbs.get("verbal_system_components") or verbs
     nouns, concords = inner.get("noun_class_system") or {}, inner.get("concord_system") or {}
@@ -155,7 +163,7 @@ def canonical(data: dict) -> dict:
 
 def problems(data: dict, strict: bool = False, version: tuple[int, int, int] = VERSION) -> list[tuple[str, str, str]]:
     """(severity, path, what is wrong), empty for a good grammar. ``strict`` makes open questions errors."""
-    inner = next((v for v in data.values() if len(data) == 1 and isinstance(v, dict)), data)
+    inner = unwrapped(data)
     g, out = canonical(data), []
     for k in REQUIRED["metadata"]:
         if not g["metadata"].get(k):
@@ -276,7 +284,7 @@ def overlaid(data: dict, other: dict) -> dict:
     A tense of ``other`` counts only where ``data`` has it; its first form replaces the marker. ``negation`` and ``negation_infix`` are added as
     the first forms given under ``negation_pre.present`` and ``negation_infix.negative``.
     """
-    inner = next((v for v in other.values() if len(other) == 1 and isinstance(v, dict)), other)
+    inner = unwrapped(other)
     parts = (inner.get("verb_system") or {}).get("verbal_system_components") or inner.get("verb_system") or inner
     own = {n: dict(v) for n, v in canonical(data)["tam"]}
     for n, v in _items(_first(parts, "tam", "tam_markers", default={})):

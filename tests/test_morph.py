@@ -204,8 +204,10 @@ def test_one_pass_annotation_gives_the_same(spark):
     """Whole sentences in one pass against tokens that are analysed, tagged and linked step by step."""
     rng = random.Random(3)
     part = [f for k in ("subjects", "objects", "tam", "extensions", "classes") for _, fs in G.annotation_tables(G.LEXEME)[k] for f in fs] + [*G.VERB_ROOTS, *G.NOUN_STEMS, "e", "a", "ing", "un"]
-    word = lambda: "".join(rng.choice(part) for _ in range(rng.randrange(1, 5)))
-    rows = [(i, [rng.choice([word(), word(), word(), "the", ".", "12", "XIV", "Ünd", "a|b", "€", ""]) for _ in range(rng.randrange(0, 14))]) for i in range(400)] + [(900, None)]
+    nouns = [p + s for _, ps in G.annotation_tables(G.LEXEME)["classes"] for p in ps for s in G.NOUN_STEMS]
+    verbs = [s + t + r + "e" for _, ss in G.annotation_tables(G.LEXEME)["subjects"] for s in ss for t in ("", "ea", "ou") for r in ("at", "on")]
+    word = lambda: rng.choice([rng.choice(nouns), rng.choice(verbs), "".join(rng.choice(part) for _ in range(rng.randrange(1, 5)))])
+    rows = [(i, [rng.choice([word(), word(), word(), "the", ".", "12", "XIV", "Ünd", "a|b", "€", ""]) for _ in range(rng.randrange(0, 14))]) for i in range(800)] + [(900, None)]
     sents = spark.createDataFrame(rows, "sent int, forms array<string>")
     v, n = M.VerbTables(G.LEXEME, G.VERB_ROOTS), M.NounTables(G.LEXEME, G.NOUN_STEMS)
     own = A.Annotator(v, n)
