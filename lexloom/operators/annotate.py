@@ -8,13 +8,16 @@ tokens with their neighbours in numpy. So a corpus is annotated without any exch
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable, Iterator
+from copy import copy
 from typing import NamedTuple
 from unicodedata import category, normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
@@ -26,7 +29,8 @@ from . import tagging as T
 from .morph import ACCEPT_VERB, ANALYSIS, NounTables, VerbTables, analysis
 
 FIELDS = [c.split()[0] for c in ANALYSIS.split(", ")]
-MEMO = 200_000
+#: Forms that a worker remembers, twice; few enough for all workers of an executor to have them full on any corpus.
+MEMO = 60_000
 NOTHING = (None,) * len(FIELDS)
 SPECIAL = {"punct": "PUNCT", "number": "NUM", "special": "SYM", "code_switch": "X"}
 TAGS = ("upos", "flag", "feats", "xpos", "lemma")
@@ -56,9 +60,18 @@ class Annotator:
         self.number = re.compile(f"{NUMBER}|{STRICT_ROMAN}") if strict_roman else re.compile(f"{NUMBER}|{ROMAN.removeprefix('(?i)')}", re.I)
         self.new: dict[str, Entry] = {}
         self.old: dict[str, Entry] = {}
+        self.ties: dict[str, bool] = {}
+        #: Without ``whole`` an entry has no features, lemma, detailed tag or line.
+        self.whole = True
 
     def __getstate__(self):
-        return self.__dict__ | {"new": {}, "old": {}}
+        return self.__dict__ | {"new": {}, "old": {}, "ties": {}}
+
+    def short(self) -> Annotator:
+        """The same rules for what needs UPOS, flag and analysis alone."""
+        out = copy(self)
+        out.whole, out.new, out.old = False, {}, {}
+        return out
 
     def type_of(self, form: str) -> str:
         if not form[:1].isalpha():
@@ -79,6 +92,15 @@ class Annotator:
             self.new[form] = got
         return got
 
+    def tied(self, form: str) -> bool:
+        """Do the best verb parses of a form tie?"""
+        got = self.ties.get(form)
+        if got is None:
+            if len(self.ties) >= 2 * MEMO:
+                self.ties = {}
+            got = self.ties[form] = self.verbs.tied(form.lower())
+        return got
+
     def safe(self, form: str) -> Entry:
         """A form whose analysis fails is an X that says so; it doesn't end the job."""
         try:
@@ -92,23 +114,25 @@ class Annotator:
         values = analysis(low if low.isascii() else normalize("NFC", low), self.verbs, self.nouns) if kind == "word" else NOTHING
         if values == NOTHING:
             return self.bare(form, low, kind)
-        v = dict(zip(FIELDS, values))
-        sm = v["sm_class"] or ""
-        sc, listed = sm if sm.startswith("NC") else None, self.closed.get(low)
-        if v["score"] is not None and v["score"] >= ACCEPT_VERB:
-            upos, flag = "ADP" if sc in G.LOCATIVE and not v["tam_id"] else "VERB" if sc == "NC15" or v["root"] else listed or "X", "parsed"
+        score, neg, _, sm, _, tam, _, om, root, *_, nc, _, stem, _, known = values
+        sc = sm if sm and sm.startswith("NC") else None
+        if score is not None and score >= ACCEPT_VERB:
+            upos, flag = "ADP" if sc in G.LOCATIVE and not tam else "VERB" if sc == "NC15" or root else self.closed.get(low) or "X", "parsed"
         else:
             upos, flag = "NOUN", "class"
-        feats = self.features(v, upos, flag, sc)
-        lemma = v["root"] if flag == "parsed" and v["root"] else v["stem"] if flag == "class" and v["known"] else low
-        xpos = self.detail(v, upos, flag, sc, feats)
-        text = "|".join(f"{k}={x}" for k, x in sorted(feats.items()))
-        seen = v["nc"] if v["nc"] not in G.LOCATIVE else None
-        sure = ({"NOUN": 0.50, "X": 0.20}.get(upos, 0.15) + (0.30 if v["known"] else 0.15 if flag == "class" else 0.10)) * (0.30 if v["neg"] is not None and v["om_class"] is not None else 1)
-        om = v["om_class"] if (v["om_class"] or "").startswith("NC") else None
+        seen = nc if nc not in G.LOCATIVE else None
+        sure = ({"NOUN": 0.50, "X": 0.20}.get(upos, 0.15) + (0.30 if known else 0.15 if flag == "class" else 0.10)) * (0.30 if neg is not None and om is not None else 1)
         verb = upos in ("VERB", "AUX")
-        line = "\t".join([form.replace("|", "\\p").replace("\t", " "), *(x or "_" for x in (lemma, upos, xpos, text)), "_", "_"])
-        return Entry(kind, values, (upos, flag, text, xpos, lemma), sc if verb else None, om if verb else None, seen if upos in T.MODIFIERS else None, seen, round(sure, 3), bool(v["known"]), line, self.misc(v))
+        tags, line, misc = (upos, flag, None, None, None), "", ()
+        if self.whole:
+            v = dict(zip(FIELDS, values))
+            feats = self.features(v, upos, flag, sc)
+            lemma = root if flag == "parsed" and root else stem if flag == "class" and known else low
+            xpos = self.detail(v, upos, flag, sc, feats)
+            text = "|".join(f"{k}={x}" for k, x in sorted(feats.items()))
+            tags, misc = (upos, flag, text, xpos, lemma), self.misc(v)
+            line = "\t".join([form.replace("|", "\\p").replace("\t", " "), *(x or "_" for x in (lemma, upos, xpos, text)), "_", "_"])
+        return Entry(kind, values, tags, sc if verb else None, om if verb and om and om.startswith("NC") else None, seen if upos in T.MODIFIERS else None, seen, round(sure, 3), bool(known), line, misc)
 
     def bare(self, form: str, low: str, kind: str) -> Entry:
         """A token without an analysis: closed-class words, and what isn't a word."""
@@ -172,7 +196,7 @@ class Sentences:
         self.sent = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.pos = np.arange(len(self.codes)) - self.starts[self.sent] + 1
-        self.forms = flat.dictionary
+        self.forms, self.annotator = flat.dictionary, annotator
         self.entries = [annotator(f or "") for f in flat.dictionary.to_pylist()]
 
     def column(self, values: list, kind: pa.DataType) -> pa.Array:
@@ -251,10 +275,21 @@ def _arrow(name: str) -> pa.DataType:
     return {"double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}.get(name, pa.string())
 
 
-def _run(sentences: DataFrame, annotator: Annotator, make: Callable, fields: list[tuple[str, pa.DataType]], forms: str) -> DataFrame:
-    """``make(sentences)`` gives the row of each output row and its columns; the keys are repeated."""
+def _groups(b: pa.RecordBatch, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each run of rows with equal keys, and each row's run."""
+    new = np.zeros(b.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        codes = b.column(b.schema.get_field_index(k)).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _run(sentences: DataFrame, annotator: Annotator, make: Callable, fields: list[tuple[str, pa.DataType]], forms: str, by: list[str] | None = None) -> DataFrame:
+    """``make(sentences)`` gives the row of each output row and its columns; the keys, or those of ``by``, are repeated."""
     spark = ship(sentences.sparkSession)
-    keys = [c for c in sentences.columns if c != forms]
+    keys = [c for c in sentences.columns if c != forms] if by is None else by
+    sentences = sentences.select(*keys, forms)
     clash = {n for n, _ in fields} & {*keys}
     if clash:
         raise ValueError(f"columns already there: {', '.join(sorted(clash))}")
@@ -267,7 +302,9 @@ def _run(sentences: DataFrame, annotator: Annotator, make: Callable, fields: lis
         own = sent.value
         for b in batches:
             if b.num_rows:
-                rows, columns = make(Sentences(b.column(b.schema.get_field_index(forms)), own))
+                s = Sentences(b.column(b.schema.get_field_index(forms)), own)
+                s.first, s.group = _groups(b, keys)
+                rows, columns = make(s)
                 taken = [b.column(b.schema.get_field_index(k)).take(pa.array(rows)) for k in keys]
                 yield pa.record_batch([*(c.cast(t) if c.type != t else c for c, t in zip([*taken, *columns], kinds))], names=schema.names)
 
@@ -277,16 +314,93 @@ def _run(sentences: DataFrame, annotator: Annotator, make: Callable, fields: lis
 _TOKEN = [("pos", pa.int32()), ("form", pa.string()), ("type", pa.string()), *((c.split()[0], _arrow(c.split()[1])) for c in ANALYSIS.split(", ")), *((t, pa.string()) for t in TAGS)]
 
 
-def _tokens(s: Sentences):
-    e = s.entries
-    columns = [pa.array(s.pos, pa.int32()), s.forms.take(pa.array(s.codes)), s.column([x.type for x in e], pa.string())]
-    columns += [s.column([x.values[i] for x in e], t) for i, (_, t) in enumerate(_TOKEN[3:-5])]
-    return s.sent, columns + [s.column([x.tags[i] for x in e], pa.string()) for i in range(5)]
+def _tokens(s: Sentences, names: list[str]):
+    return s.sent, [_column(s, n) for n in names]
+
+
+def _values(s: Sentences, name: str) -> list:
+    """A column of ``_TOKEN`` that depends on the form alone, for each distinct form."""
+    if name == "type":
+        return [x.type for x in s.entries]
+    part, i = (1, FIELDS.index(name)) if name in FIELDS else (2, TAGS.index(name))
+    return [x[part][i] for x in s.entries]
+
+
+def _column(s: Sentences, name: str) -> pa.Array:
+    if name == "pos":
+        return pa.array(s.pos, pa.int32())
+    return s.forms.take(pa.array(s.codes)) if name == "form" else s.column(_values(s, name), dict(_TOKEN)[name])
+
+
+def _fit(annotator: Annotator, names: list[str]) -> Annotator:
+    return annotator if {"feats", "xpos", "lemma"} & {*names} else annotator.short()
+
+
+def tokens(sentences: DataFrame, annotator: Annotator, forms: str = "forms", columns: list[str] | None = None) -> DataFrame:
+    """A row for each token: the sentence's keys, ``pos, form, type``, the columns of ``ANALYSIS`` and ``upos, flag, feats, xpos, lemma``, or ``columns`` of them.
+
+    Spark can't tell a Python step which columns are used, so that those of no use are better not asked for.
+    """
+    names = columns or [n for n, _ in _TOKEN]
+    return _run(sentences, _fit(annotator, names), lambda s: _tokens(s, names), [(n, t) for n, t in _TOKEN if n in names] if columns is None else [(n, dict(_TOKEN)[n]) for n in names], forms)
+
+
+def counts(sentences: DataFrame, annotator: Annotator, columns: list[str], by: tuple[str, ...] = (), forms: str = "forms") -> DataFrame:
+    """``n`` tokens of each combination of ``columns`` (of ``tokens``, but ``pos`` and ``form``) and the keys ``by``.
+
+    Counted within each batch: a combination has a row for each batch that has it, to be summed.
+    """
+
+    def make(s: Sentences):
+        kinds: dict[tuple, int] = {}
+        of = np.array([kinds.setdefault(x, len(kinds)) for x in zip(*(_values(s, c) for c in columns))], np.int64)
+        at = s.group[s.sent] * max(len(kinds), 1) + (of[s.codes] if len(s.codes) else 0)
+        found, n = np.unique(at, return_counts=True)
+        some, rows = list(kinds), found // max(len(kinds), 1)
+        own = pa.array(found % max(len(kinds), 1))
+        return s.first[rows], [*(pa.array([k[i] for k in some], dict(_TOKEN)[c]).take(own) for i, c in enumerate(columns)), pa.array(n, pa.int64())]
+
+    return _run(sentences, _fit(annotator, columns), make, [*((c, dict(_TOKEN)[c]) for c in columns), ("n", pa.int64())], forms, list(by))
+
+
+def sentence_totals(sentences: DataFrame, annotator: Annotator, forms: str = "forms") -> DataFrame:
+    """``tokens, words, ambiguous, failed`` of each sentence that has a token; a word is ambiguous if its best verb parses tie."""
+
+    def make(s: Sentences):
+        tie = s.annotator.tied
+        word = np.array([e.type == "word" for e in s.entries], bool)
+        tied = np.array([w and tie(f or "") for w, f in zip(word.tolist(), s.forms.to_pylist())], bool)
+        failed = np.array([e.tags[1] == "failed" for e in s.entries], bool)
+        some = np.flatnonzero(s.lengths)
+        total = lambda x: pa.array(np.bincount(s.sent, x[s.codes], len(s.lengths))[some].astype(np.int64)) if len(s.codes) else pa.array([], pa.int64())
+        return some, [pa.array(s.lengths[some]), *map(total, (word, tied, failed))]
+
+    return _run(sentences, annotator.short(), make, [(c, pa.int64()) for c in ("tokens", "words", "ambiguous", "failed")], forms)
 
 
-def tokens(sentences: DataFrame, annotator: Annotator, forms: str = "forms") -> DataFrame:
-    """A row for each token: the sentence's keys, ``pos, form, type``, the columns of ``ANALYSIS`` and ``upos, flag, feats, xpos, lemma``."""
-    return _run(sentences, annotator, _tokens, _TOKEN, forms)
+def run_totals(sentences: DataFrame, annotator: Annotator, doc: str, sent: str, forms: str = "forms") -> DataFrame:
+    """``totals`` in one pass over sentences that are numbered from 1 within each ``doc``: only the documents' own totals go through an exchange."""
+    own = sentence_totals(sentences, annotator, forms)
+    docs = own.groupBy(doc).agg(F.max(sent).cast("long").alias("sentences"), *(F.sum(c).alias(c) for c in ("tokens", "words", "ambiguous", "failed")))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)) if c in ("sentences", "tokens") else F.sum(c)
+    return docs.agg(*(zero(c).alias(c) for c in ("sentences", "tokens", "words", "ambiguous", "failed")))
+
+
+def last_nouns(sentences: DataFrame, annotator: Annotator, forms: str = "forms") -> DataFrame:
+    """``pos, sm_class, last_nc, agrees`` of each verb, as ``tagging.last_noun`` has them: a verb agrees with the last noun before it in its sentence."""
+
+    def make(s: Sentences):
+        upos, nc = _values(s, "upos"), _values(s, "nc")
+        noun, verb = (np.array(x, bool)[s.codes] if len(s.codes) else np.empty(0, bool) for x in ([u == "NOUN" and c is not None for u, c in zip(upos, nc)], [u == "VERB" for u in upos]))
+        last = np.maximum.accumulate(np.where(noun, np.arange(len(noun)), -1)) if len(noun) else np.empty(0, np.int64)
+        at = np.flatnonzero(verb)
+        before = np.where(at > 0, last[at - 1], -1)
+        ok = before >= s.starts[s.sent[at]]
+        own = pa.array(nc, pa.string()).take(pa.array(s.codes[np.where(ok, before, 0)], mask=~ok))
+        mine = pa.array(_values(s, "sm_class"), pa.string()).take(pa.array(s.codes[at]))
+        return s.sent[at], [pa.array(s.pos[at], pa.int32()), mine, own, pc.equal(own, mine)]
+
+    return _run(sentences, annotator.short(), make, [("pos", pa.int32()), ("sm_class", pa.string()), ("last_nc", pa.string()), ("agrees", pa.bool_())], forms)
 
 
 def totals(tokens: DataFrame, sent: list[str], parses: DataFrame | None = None) -> DataFrame:
@@ -317,7 +431,7 @@ def _links(s: Sentences):
 def links(sentences: DataFrame, annotator: Annotator, forms: str = "forms") -> DataFrame:
     """``kind, nc, gov_pos, noun_pos, dist, score`` of each agreement link, beside the sentence's keys."""
     fields = [("kind", pa.string()), ("nc", pa.string()), *((c, pa.int32()) for c in ("gov_pos", "noun_pos", "dist")), ("score", pa.float64())]
-    return _run(sentences, annotator, _links, fields, forms)
+    return _run(sentences, annotator.short(), _links, fields, forms)
 
 
 def conllu(sentences: DataFrame, annotator: Annotator, forms: str = "forms") -> DataFrame:
@@ -329,3 +443,51 @@ def conllu(sentences: DataFrame, annotator: Annotator, forms: str = "forms") ->
         return some, [pa.array([every[i] for i in some], pa.string())]
 
     return _run(sentences, annotator, make, [("lines", pa.string())], forms)
+
+
+def _json_tail(e: Entry, form: str, slim: bool) -> str:
+    """What ``sinks.sentence_token`` has of a token but its number, as JSON; it depends on the form alone."""
+    v = dict(zip(FIELDS, e.values))
+    upos, flag, feats, xpos, lemma = e.tags
+    morphs, at = [], 0
+    for slot, key, gloss in (("NEG", "neg", None), ("SM", "sm", "sm_class"), ("TAM", "tam", "tam_id"), ("OM", "om", "om_class"), ("ROOT", "root", "gloss"), ("EXT", "ext", "ext_id"), ("FV", "fv", "fv_id")):
+        n = len(v[key] or "")
+        if n:
+            morphs.append({"start": at, "end": at + n, "form": v[key], "label": slot, "gloss": v[gloss] if gloss else None, "slot": slot})
+        at += n
+    if v["nc"] is not None:
+        n = len(v["nc_prefix"] or "")
+        for a, z, own, label, gloss in ((0, n, v["nc_prefix"], "NC_PREFIX", v["nc"]), (n, n + len(v["stem"] or ""), v["stem"], "STEM", v["stem"])):
+            if z > a:
+                morphs.append({"start": a, "end": z, "form": own, "label": label, "gloss": gloss, "slot": None})
+    known = bool(v["known"])
+    root = v["root"] if v["root"] is not None else v["stem"]
+    parses = [] if v["score"] is None else [{"score": round(v["score"], 4), "root": v["root"], "gloss": "-".join(v[c] for c in ("sm_class", "tam_id", "om_class", "gloss", "ext_id", "fv_id") if v[c] is not None), "flags": []}]
+    matches = [{"root": root, "gloss": v["gloss"], "cat": "verb" if v["nc"] is None else "noun", "nc": v["nc"]}] if known else []
+    pairs = dict((*x.split("=", 1), None)[:2] for x in feats.split("|")) if feats else {}
+    out = {
+        "form": form, **({} if slim else {"original_form": None}), "token_type": e.type, **({} if slim else {"char_start": None, "char_end": None}), "lemma": lemma, "upos": upos, "xpos": xpos, "feats": pairs, "head": None, "deprel": None, "noun_class": v["nc"], "is_oov": e.type == "word" and not known,
+        "is_reduplicated": DOUBLED.match(form) is not None, "clitic_of": None, "flags": [flag], "morphemes": morphs, "slot_parses": parses, "lexicon_matches": matches, "misc": {},
+    }
+    text = json.dumps(out, ensure_ascii=False, separators=(",", ":"))
+    return "," + (re.sub(r"(?<!\\)((?:\\\\)*\\u)([0-9a-f]{4})", lambda m: m[1] + m[2].upper(), text) if "\\u" in text else text)[1:]
+
+
+#: ``segment.doubled`` in Python, whose full stop stands for some line ends too.
+DOUBLED = re.compile("([^\\n\\r\\u0085\\u2028\\u2029]{2,})\\1")
+
+
+def json_lines(sentences: DataFrame, annotator: Annotator, forms: str = "forms", slim: bool = False) -> DataFrame:
+    """``has_cs, total, oov, lexicon, analysed, punct, special, tokens`` beside the sentence's keys: what ``sinks.sentence_lines`` needs of a sentence, its tokens as JSON. No exchange."""
+
+    def make(s: Sentences):
+        of = lambda f: np.array([f(e) for e in s.entries], np.int64)
+        some = np.flatnonzero(s.lengths)
+        total = lambda f: np.bincount(s.sent, of(f)[s.codes], len(s.lengths))[some].astype(np.int64) if len(some) else np.empty(0, np.int64)
+        tails = [_json_tail(e, f or "", slim) for e, f in zip(s.entries, s.forms.to_pylist())]
+        own = [f'{{"token_id":{p}{tails[c]}' for p, c in zip(s.pos.tolist(), s.codes.tolist())]
+        known = FIELDS.index("known")
+        columns = [total(lambda e: e.type == "code_switch") > 0, s.lengths[some], total(lambda e: e.type == "word" and not e.values[known]), total(lambda e: bool(e.values[known])), total(lambda e: e.values[0] is not None), total(lambda e: e.type == "punct"), total(lambda e: e.type == "special")]
+        return some, [*map(pa.array, columns), pa.array([f"[{','.join(own[a:z])}]" for a, z in zip(s.starts[some].tolist(), (s.starts + s.lengths)[some].tolist())], pa.string())]
+
+    return _run(sentences, annotator, make, [("has_cs", pa.bool_()), *((c, pa.int64()) for c in ("total", "oov", "lexicon", "analysed", "punct", "special")), ("tokens", pa.string())], forms)

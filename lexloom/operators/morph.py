@@ -116,22 +116,24 @@ class NounTables:
     def __init__(self, data: dict, stems: dict[str, tuple[str, str, bool]], augments: Iterable[str] = G.AUGMENTS):
         self.prefixes = sorted(((p, nc) for nc, ps in G.annotation_tables(data)["classes"] for p in ps), key=lambda x: -len(x[0]))
         self.stems, self.augments = stems, sorted(augments, key=len, reverse=True)
-        self._some = tuple(p for p, _ in self.prefixes)
+        self.by_length = [(n, {p: [nc for q, nc in self.prefixes if q == p] for p, _ in self.prefixes if len(p) == n}) for n in sorted({len(p) for p, _ in self.prefixes}, reverse=True)]
 
     def analyse(self, form: str) -> list[tuple[str, str, str, float, bool]]:
         """(class, prefix, stem, score, known), best first."""
         words = [form, *[form[len(a) :] for a in self.augments if form.startswith(a) and len(form) > len(a)][:1]]
         out = []
         for word in words:
-            for p, nc in self.prefixes:
-                if word.startswith(p) and len(word) > len(p):
-                    stem = word[len(p) :]
+            for n, of in self.by_length:
+                p = word[:n]
+                if p in of and len(word) > n:
+                    stem = word[n:]
                     known = self.stems.get(stem)
-                    score = (0.50 + 0.20 * (known[1] == nc) + 0.05 * known[2] if known else 0) + 0.15 * bool(p) + 0.05 * (len(stem) >= 2)
-                    out.append((nc, p, stem, round(score, 2), known is not None))
+                    for nc in of[p]:
+                        score = (0.50 + 0.20 * (known[1] == nc) + 0.05 * known[2] if known else 0) + 0.15 * bool(p) + 0.05 * (len(stem) >= 2)
+                        out.append((nc, p, stem, round(score, 2), known is not None))
         if not out and form in self.stems:
             out = [(self.stems[form][1], "", form, 0.30, True)]
-        return sorted(out, key=lambda x: -x[3])[:TOP_NOUN]
+        return sorted(out, key=lambda x: -x[3])[:TOP_NOUN] if len(out) > 1 else out
 
 
 class VerbTables:
@@ -206,6 +208,12 @@ class VerbTables:
         """The first of the best hypotheses."""
         return max(self.hypotheses(form), key=lambda x: x[0], default=None)
 
+    def tied(self, form: str) -> bool:
+        """Are there two segmentations of the best score?"""
+        all_ = self.hypotheses(form) if form else []
+        top = max((x[0] for x in all_), default=0)
+        return len(all_) > 1 and len({(*(s and s[0] for s in x[1:5]), x[5], *(s and s[0] for s in x[6:])) for x in all_ if x[0] == top}) > 1
+
     def parse(self, form: str) -> list[tuple[float, dict[str, tuple[str, str]]]]:
         """Hypotheses as (score, slot -> (form, gloss)), best first, at most ``TOP``, one for each segmentation."""
         best: dict[tuple, tuple[float, int, tuple]] = {}

@@ -17,7 +17,7 @@ def ratio(part: Column, whole: Column, digits: int = 2) -> Column:
 
 def parts(text: str, profile: Profile) -> Column:
     """The sentences of a text without e-mail addresses."""
-    return S.sentences(C.strip(F.regexp_replace(C.emails(F.col(text)), r"[ \t]+", " ")), profile.abbreviations)
+    return S.sentences(C.strip(F.regexp_replace(C.emails(F.col(text)), C.BLANKS, " ")), profile.abbreviations)
 
 
 def _counted(docs: DataFrame, text: str, profile: Profile, *keys) -> DataFrame:
@@ -55,12 +55,14 @@ def errors_by_stage(results: DataFrame) -> DataFrame:
     return results.filter(~F.col("success")).groupBy("stage").agg(F.count("*").alias("n"))
 
 
-def coverage(tokens: DataFrame, *keys: str) -> DataFrame:
-    """Counts over tokens (``type``, ``oov``, ``analysed``); ``oov_rate`` over words alone, ``oov_all`` over every token."""
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+def coverage(tokens: DataFrame, *keys: str, weight: str | None = None) -> DataFrame:
+    """Counts over tokens (``type``, ``oov``, ``analysed``); ``oov_rate`` over words alone, ``oov_all`` over every token. ``weight``: a row stands for so many tokens."""
+    one = F.col(weight) if weight else F.lit(1)
+    n = lambda c: F.sum(F.when(c, one).otherwise(0))
+    every = F.coalesce(F.sum(one), F.lit(0)) if weight else F.count("*")
     word = ~F.col("type").isin("punct", "special")
     oov = F.col("oov")
-    return tokens.groupBy(*keys).agg(F.count("*").alias("tokens"), n(word).alias("words"), n(word & oov).alias("oov"), n(F.col("analysed")).alias("analysed"), n(F.col("type") == "punct").alias("punct"), n(F.col("type") == "special").alias("special"), ratio(n(word & oov), n(word), 4).alias("oov_rate"), ratio(n(oov | (F.col("type") == "punct")), F.count("*"), 4).alias("oov_all"), ratio(n(F.col("analysed")), F.count("*"), 4).alias("tagging_rate"))
+    return tokens.groupBy(*keys).agg(every.alias("tokens"), n(word).alias("words"), n(word & oov).alias("oov"), n(F.col("analysed")).alias("analysed"), n(F.col("type") == "punct").alias("punct"), n(F.col("type") == "special").alias("special"), ratio(n(word & oov), n(word), 4).alias("oov_rate"), ratio(n(oov | (F.col("type") == "punct")), every, 4).alias("oov_all"), ratio(n(F.col("analysed")), every, 4).alias("tagging_rate"))
 
 
 def confidence(levels: Column) -> Column:

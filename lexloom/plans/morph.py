@@ -174,8 +174,8 @@ def sentences(spark, sf_dir) -> DataFrame:
     return s.select("doc_id", "sent", S.punct_tokens(F.col("sentence")).alias("forms"))
 
 
-def tagged(spark, sf_dir) -> DataFrame:
-    return A.tokens(sentences(spark, sf_dir), A.Annotator(*tables()))
+def tagged(spark, sf_dir, columns: list[str] | None = None) -> DataFrame:
+    return A.tokens(sentences(spark, sf_dir), A.Annotator(*tables()), columns=columns)
 
 
 def _sentences() -> str:
@@ -220,20 +220,21 @@ _WITH = _tagged_sql()
 
 @query(f"WITH {_WITH} SELECT upos, flag, count(*) AS n, count(nc) AS classes, count(sm_class) AS subjects, count(om_class) AS objects, count(tam_id) AS tenses FROM t GROUP BY upos, flag")
 def tag_upos(spark, sf_dir):
-    t = tagged(spark, sf_dir)
-    return t.groupBy("upos", "flag").agg(F.count("*").alias("n"), F.count("nc").alias("classes"), F.count("sm_class").alias("subjects"), F.count("om_class").alias("objects"), F.count("tam_id").alias("tenses"))
+    t = A.counts(sentences(spark, sf_dir), A.Annotator(*tables()), ["upos", "flag", "nc", "sm_class", "om_class", "tam_id"])
+    some = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col("n")).otherwise(0))
+    return t.groupBy("upos", "flag").agg(F.sum("n").alias("n"), some("nc").alias("classes"), some("sm_class").alias("subjects"), some("om_class").alias("objects"), some("tam_id").alias("tenses"))
 
 
 @query(f"WITH {_WITH} SELECT doc_id, sent, pos, form, lemma, upos, xpos, feats, flag FROM t")
 def tag_tokens(spark, sf_dir):
     """Tags, features and lemmas of every token."""
-    return tagged(spark, sf_dir).select("doc_id", "sent", "pos", "form", "lemma", "upos", "xpos", "feats", "flag")
+    return tagged(spark, sf_dir, ["pos", "form", "lemma", "upos", "xpos", "feats", "flag"])
 
 
 @query(f"WITH {_WITH} SELECT last_nc, sm_class = last_nc AS agrees, count(*) AS n FROM (SELECT *, last_value(CASE WHEN upos = 'NOUN' THEN nc END IGNORE NULLS) OVER (PARTITION BY doc_id, sent ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_nc FROM t) WHERE upos = 'VERB' GROUP BY ALL")
 def agree_asof(spark, sf_dir):
     """A verb agrees with the last noun before it."""
-    t = T.last_noun(tagged(spark, sf_dir), "doc_id", "sent").filter("upos = 'VERB'")
+    t = A.last_nouns(sentences(spark, sf_dir).select("forms"), A.Annotator(*tables()))
     return t.groupBy("last_nc", "agrees").agg(F.count("*").alias("n"))
 
 
@@ -282,16 +283,15 @@ def conllu_lines(spark, sf_dir):
 )
 def annotation_coverage(spark, sf_dir):
     """Counts and rates over each document's annotated tokens."""
-    t = tagged(spark, sf_dir).select("doc_id", "type", (~F.coalesce("known", F.lit(False))).alias("oov"), F.col("flag").isin("parsed", "class").alias("analysed"))
-    return stats.coverage(t, "doc_id")
+    t = A.counts(sentences(spark, sf_dir), A.Annotator(*tables()), ["type", "known", "flag"], ("doc_id",))
+    t = t.select("doc_id", "type", (~F.coalesce("known", F.lit(False))).alias("oov"), F.col("flag").isin("parsed", "class").alias("analysed"), "n")
+    return stats.coverage(t, "doc_id", weight="n")
 
 
 @query(f"WITH {_WITH}, p AS (SELECT form, score, max(score) OVER (PARTITION BY form) AS top FROM {verb_sql('forms')} WHERE hyp <= {M.TOP}), k AS (SELECT form FROM p WHERE score = top GROUP BY form HAVING count(*) > 1) SELECT count(DISTINCT (doc_id, sent)) AS sentences, count(*) AS tokens, count(CASE WHEN type = 'word' THEN 1 END) AS words, count(CASE WHEN type = 'word' AND low IN (SELECT form FROM k) THEN 1 END) AS ambiguous, 0::BIGINT AS failed FROM t")
 def annotation_totals(spark, sf_dir):
     """Totals of an annotation run; a word is ambiguous if its best verb parses tie."""
-    t = tagged(spark, sf_dir)
-    parses = M.verb_parses(M.distinct_forms(t.filter("type = 'word'")), tables()[0])
-    return A.totals(t, ["doc_id", "sent"], parses)
+    return A.run_totals(sentences(spark, sf_dir), A.Annotator(*tables()), "doc_id", "sent")
 
 
 @query(f"SELECT form, segmentation, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY form ORDER BY score DESC, segmentation)::INT AS rank FROM (SELECT form, segmentation, max(score) AS score FROM (SELECT form, concat_ws('-', neg, sm, tam, om, root, ext, fv) AS segmentation, score FROM {_VERBS} WHERE hyp <= {M.TOP} UNION ALL SELECT form, concat_ws('-', nullif(prefix, ''), stem), score FROM {_NOUNS.format(forms=_FORMS)}) GROUP BY ALL)) WHERE rank <= {M.TOP}")
