@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .cleaning import DOT, in_slices, once, protect, strip, unicode
 from .profiles import Profile
@@ -79,6 +80,61 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, r"[ \t\r\n]+"), lambda w: w != "")
 
 
+#: By byte, whether it is one of ``BLANK``; in UTF-8 those bytes occur in no other character.
+_BLANKS = np.isin(np.arange(256), [*b" \t\r\n"])
+
+
+def _chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """White-space tokens of all rows (none is null), and the row of each. Works on the bytes, so that no token becomes a Python object."""
+    texts = texts.cast(pa.string())
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    rows = at - at[0]
+    kept = ~_BLANKS[data]
+    first = kept.copy()
+    first[1:] &= ~kept[:-1]
+    heads = rows[:-1][rows[:-1] < len(data)]
+    first[heads] = kept[heads]  # a row's first token doesn't go on from the row before
+    starts = np.flatnonzero(first)
+    own = data[kept]
+    offsets = np.append(np.flatnonzero(first[kept]), len(own)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(own)), np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(np.searchsorted(starts, rows)))
+
+
+#: Bytes of counted chunks that a task holds before it gives them on.
+HELD = 24 << 20
+
+
+def _counted_chunks(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    *own, n = names
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        *keys, texts = b.columns
+        chunks, rows = _chunks(texts)
+        codes = [k.dictionary_encode() for k in keys]
+        found = pa.table([*(c.indices.take(pa.array(rows)) for c in codes), chunks], names=own).group_by(own, use_threads=False).aggregate([([], "count_all")])
+        found = pa.table([*(pa.chunked_array([c.dictionary]).take(found[k]) for c, k in zip(codes, own)), found["chunk"], found["count_all"]], names=names)
+        held = found if held is None else pa.concat_tables([held, found]).group_by(own, use_threads=False).aggregate([(n, "sum")]).rename_columns(names)
+        if held.nbytes > HELD:
+            yield from held.to_batches()
+            held = None
+    if held is not None:
+        yield from held.to_batches()
+
+
+def chunk_counts(docs: DataFrame, text: str, *keys: str) -> DataFrame:
+    """``keys, chunk, n``: white-space tokens, counted by the keys within a task, which holds ``HELD`` bytes of them; the same one comes again from others.
+
+    A text's tokens are those of its chunks, so what depends on a token alone is worked out for few rows. No exchange.
+    """
+    own = docs.filter(F.col(text).isNotNull()).select(*keys, text)
+    schema = StructType([*(own.schema[k] for k in keys), StructField("chunk", StringType()), StructField("n", LongType())])
+    names = schema.names
+    return own.mapInArrow(lambda it: _counted_chunks(it, names), schema)
+
+
 def _structs(rows: list[list[tuple] | None], **kinds: pa.DataType) -> pa.Array:
     """A list of tuples, or null, for each row as an array of structs."""
     sizes = np.cumsum([0, *(len(x or ()) for x in rows)]).astype(np.int32)

@@ -28,10 +28,16 @@ def tables() -> tuple[M.VerbTables, M.NounTables]:
     return M.VerbTables(G.LEXEME, G.VERB_ROOTS), M.NounTables(G.LEXEME, G.NOUN_STEMS)
 
 
-def tokens(spark, sf_dir) -> DataFrame:
-    """Words, in lower case: whatever is neither punctuation nor a number."""
-    w = F.filter(S.punct_tokens(F.col("text")), lambda w: S.token_type(w, strict=True) == "word")
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.transform(w, F.lower)).alias("form"))
+def tokens(spark, sf_dir, *keys: str) -> DataFrame:
+    """Words, in lower case: whatever is neither punctuation nor a number. A row stands for ``n`` of them; a word comes more than once."""
+    chunks = S.chunk_counts(table(spark, sf_dir, "documents"), "text", *keys)
+    w = chunks.select(*keys, F.explode(S.punct_tokens(F.col("chunk"))).alias("form"), "n")
+    return w.filter(S.token_type(F.col("form"), strict=True) == "word").withColumn("form", F.lower("form"))
+
+
+def forms(spark, sf_dir) -> DataFrame:
+    """Every distinct word."""
+    return tokens(spark, sf_dir).select("form").distinct()
 
 
 _PUNCT = f"flatten(list_transform({words('text')}, lambda w: CASE WHEN regexp_matches(w, {Q(S.PROTECTED)}) THEN [w] ELSE regexp_extract_all(w, {Q(f'[{S.PUNCT}]|[^{S.PUNCT}]+')}) END))"
@@ -60,12 +66,12 @@ _PRE, _SUF = pre("form", PREFIXES), suf("form", SUFFIXES)
 
 @query(f"SELECT {_PRE} AS prefix, count(*) AS n FROM {_TOKENS} GROUP BY 1")
 def prefix_longest(spark, sf_dir):
-    return tokens(spark, sf_dir).groupBy(M.prefix(F.col("form"), PREFIXES).alias("prefix")).agg(F.count("*").alias("n"))
+    return tokens(spark, sf_dir).groupBy(M.prefix(F.col("form"), PREFIXES).alias("prefix")).agg(F.sum("n").alias("n"))
 
 
 @query(f"SELECT {_SUF} AS suffix, count(*) AS n FROM {_TOKENS} GROUP BY 1")
 def suffix_longest(spark, sf_dir):
-    return tokens(spark, sf_dir).groupBy(M.suffix(F.col("form"), SUFFIXES).alias("suffix")).agg(F.count("*").alias("n"))
+    return tokens(spark, sf_dir).groupBy(M.suffix(F.col("form"), SUFFIXES).alias("suffix")).agg(F.sum("n").alias("n"))
 
 
 def lexicon(spark):
@@ -81,13 +87,13 @@ _PROBE = f"""(SELECT form, CASE WHEN n.root IS NOT NULL THEN 'noun' WHEN coalesc
 
 @query(f"SELECT * FROM {_PROBE}")
 def lexicon_probe(spark, sf_dir):
-    return M.lexicon_probe(M.distinct_forms(tokens(spark, sf_dir)), *lexicon(spark))
+    return M.lexicon_probe(forms(spark, sf_dir), *lexicon(spark))
 
 
 @query(f"SELECT lang, count(*) AS tokens, sum(CASE WHEN category IS NULL THEN 1 ELSE 0 END)::BIGINT AS oov, round(avg(CASE WHEN category IS NULL THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS oov_rate FROM {_TOKENS} JOIN {_PROBE} USING (form) GROUP BY lang")
 def oov_rate(spark, sf_dir):
     """Each form of a language is looked up once; the numbers of its tokens, not the tokens, go through the exchange."""
-    counted = tokens(spark, sf_dir).groupBy("lang", "form").agg(F.count("*").alias("n"))
+    counted = tokens(spark, sf_dir, "lang").groupBy("lang", "form").agg(F.sum("n").alias("n"))
     found = M.lexicon_probe(counted, *lexicon(spark))
     n, oov = F.sum("n"), F.sum(F.when(F.col("category").isNull(), F.col("n")).otherwise(0))
     return found.groupBy("lang").agg(n.alias("tokens"), oov.alias("oov"), stats.ratio(oov, n, 4).alias("oov_rate"))
@@ -102,7 +108,7 @@ _NOUNS = f"""(SELECT form, rank, nc, prefix, stem, score, known FROM (SELECT *,
 @query(f"SELECT * EXCLUDE known FROM {_NOUNS.format(forms=_FORMS)}")
 def noun_analysis_top3(spark, sf_dir):
     classes = spark.createDataFrame(CLASSES, "nc string, nc_order int, prefix string")
-    return M.noun_analyses(M.distinct_forms(tokens(spark, sf_dir)), classes, lexicon(spark)[0])
+    return M.noun_analyses(forms(spark, sf_dir), classes, lexicon(spark)[0])
 
 
 def _keyed(kind: str) -> list[tuple[str, str]]:
@@ -148,7 +154,7 @@ _VERB_COLUMNS = ", ".join(c.split()[0] for c in M.VERB_SCHEMA.split(", "))
 @query(f"SELECT {_VERB_COLUMNS} FROM {_VERBS} WHERE hyp <= {M.TOP}")
 def verb_parse_topk(spark, sf_dir):
     """Best hypotheses of every distinct form."""
-    return M.verb_parses(M.distinct_forms(tokens(spark, sf_dir)), tables()[0])
+    return M.verb_parses(forms(spark, sf_dir), tables()[0])
 
 
 _PARTS = ", ".join(f"{{'i': {i}, 'slot': {Q(x)}, 'morph': {x.lower()}}}" for i, x in enumerate(M.SLOTS))
@@ -162,7 +168,7 @@ def verb_morpheme_spans(spark, sf_dir):
 @query()
 def app_analyze(spark, sf_dir):
     """Verbal and nominal hypotheses of every distinct form, by an exhaustive search over the slots."""
-    return M.app_analyses(M.distinct_forms(tokens(spark, sf_dir)), M.SlotParser(G.LEXEME))
+    return M.app_analyses(forms(spark, sf_dir), M.SlotParser(G.LEXEME))
 
 
 # annotation: one pass over sentences, no exchange
