@@ -92,9 +92,8 @@ def lexicon_probe(spark, sf_dir):
 
 @query(f"SELECT lang, count(*) AS tokens, sum(CASE WHEN category IS NULL THEN 1 ELSE 0 END)::BIGINT AS oov, round(avg(CASE WHEN category IS NULL THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS oov_rate FROM {_TOKENS} JOIN {_PROBE} USING (form) GROUP BY lang")
 def oov_rate(spark, sf_dir):
-    """Each form of a language is looked up once; the numbers of its tokens, not the tokens, go through the exchange."""
-    counted = tokens(spark, sf_dir, "lang").groupBy("lang", "form").agg(F.sum("n").alias("n"))
-    found = M.lexicon_probe(counted, *lexicon(spark))
+    """Forms are looked up where they were counted; only sums by language go through an exchange."""
+    found = M.lexicon_probe(tokens(spark, sf_dir, "lang"), *lexicon(spark))
     n, oov = F.sum("n"), F.sum(F.when(F.col("category").isNull(), F.col("n")).otherwise(0))
     return found.groupBy("lang").agg(n.alias("tokens"), oov.alias("oov"), stats.ratio(oov, n, 4).alias("oov_rate"))
 
