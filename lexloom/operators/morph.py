@@ -440,6 +440,7 @@ class SlotParser:
         of = {"subject_concord": concord("subject_concord"), "object_concord": concord("object_concord"), "tam": [(x[3], x[1]) for x in r["g_tam"] if x[3]], "extension": [(f, x[1]) for x in r["g_extension"] for f in (x[3], *x[4]) if f], "final_vowel": list(final_vowels), "negation": [(n, "NEG") for n in G.NEGATION]}
         forms = lambda s: sorted({x for kind in s[4] for x in of.get(kind, ())}, key=lambda x: (-len(x[0]), x))
         self.before, self.after = [(s[1], forms(s)) for s in slots[:root]], [(s[1], forms(s)) for s in reversed(slots[root + 1 :])]
+        self._some = {name: tuple(f for f, _ in own) for name, own in self.before + self.after}  # a first look with all forms at once
         self.obligatory = {s[1] for s in slots if s[3]}
         self.order, self.beam, self.root = [s[1] for s in slots], beam, slots[root][1]
         self.special = special or {}
@@ -481,9 +482,9 @@ class SlotParser:
     def _slots(self, word: str) -> list[tuple[float, str, str]]:
         found = [({}, word)]
         for name, forms in self.before:
-            found = self._step(found, name, forms, str.startswith, lambda rest, f: rest[len(f) :])
+            found = self._step(found, name, forms, self._some[name], str.startswith, lambda rest, f: rest[len(f) :])
         for name, forms in self.after:
-            found = self._step(found, name, forms, str.endswith, lambda rest, f: rest[: len(rest) - len(f)])
+            found = self._step(found, name, forms, self._some[name], str.endswith, lambda rest, f: rest[: len(rest) - len(f)])
         out = []
         for slots, rest in found:
             slots = {**slots, self.root: (rest, "ROOT")}
@@ -493,17 +494,19 @@ class SlotParser:
         return out
 
     @staticmethod
-    def _step(found, name, forms, fits, rest_of):
+    def _step(found, name, forms, some, fits, rest_of):
         out = []
         for slots, rest in found:
             out.append((slots, rest))
-            out += [({**slots, name: x}, rest_of(rest, x[0])) for x in forms if fits(rest, x[0]) and len(rest) > len(x[0])]
+            if fits(rest, some):
+                out += [({**slots, name: x}, rest_of(rest, x[0])) for x in forms if fits(rest, x[0]) and len(rest) > len(x[0])]
         return out
 
     def score(self, word: str, slots: dict, own: list[str]) -> float:
         root = slots[self.root][0]
-        covered = min(sum(len(slots[s][0]) for s in own) / max(1, len(word)), 1.0)
-        alike = SequenceMatcher(None, word, "".join(slots[s][0] for s in own)).ratio()
+        spelt = "".join(slots[s][0] for s in own)
+        covered = min(len(spelt) / max(1, len(word)), 1.0)
+        alike = 1.0 if spelt == word else SequenceMatcher(None, word, spelt).ratio()  # equal ones, as the search finds them, needn't be matched
         return round(covered * 0.40 + len(self.obligatory & {*own}) / max(1, len(self.obligatory)) * 0.20 + (0.10 if root else 0) + min(len(root) / 4, 1) * 0.10 + alike * 0.20, 4)
 
 
