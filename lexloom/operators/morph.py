@@ -214,27 +214,30 @@ class VerbTables:
         top = max((x[0] for x in all_), default=0)
         return len(all_) > 1 and len({(*(s and s[0] for s in x[1:5]), x[5], *(s and s[0] for s in x[6:])) for x in all_ if x[0] == top}) > 1
 
-    def parse(self, form: str) -> list[tuple[float, dict[str, tuple[str, str]]]]:
-        """Hypotheses as (score, slot -> (form, gloss)), best first, at most ``TOP``, one for each segmentation."""
+    def parse(self, form: str, top: int = TOP) -> list[tuple[float, dict[str, tuple[str, str]]]]:
+        """Hypotheses as (score, slot -> (form, gloss)), best first, at most ``top``, one for each segmentation."""
         best: dict[tuple, tuple[float, int, tuple]] = {}
-        for i, (score, neg, sm, tam, om, root, ext, fv) in enumerate(self.hypotheses(form)):
+        found = self.hypotheses(form)
+        if top == 1 and found:
+            found = [max(found, key=lambda x: x[0])]
+        for i, (score, neg, sm, tam, om, root, ext, fv) in enumerate(found):
             slots = (neg, sm, tam, om, (root, self.roots[root][0] if root in self.roots else ""), ext, fv)
             key = tuple(x and x[0] for x in slots)
             if key not in best or score > best[key][0]:
                 best[key] = (score, i, slots)
-        ranked = sorted(best.values(), key=lambda x: (-x[0], x[1]))[:TOP]
+        ranked = sorted(best.values(), key=lambda x: (-x[0], x[1]))[:top]
         return [(score, {k: x for k, x in zip(SLOTS, slots) if x}) for score, _, slots in ranked]
 
 
 VERB_SCHEMA = "form string, hyp int, score double, neg string, sm string, sm_class string, tam string, tam_id string, om string, om_class string, root string, gloss string, ext string, ext_id string, fv string, fv_id string"
 
 
-def _verbs(batches: Iterable[pa.RecordBatch], t: VerbTables) -> Iterator[pa.RecordBatch]:
+def _verbs(batches: Iterable[pa.RecordBatch], t: VerbTables, top: int) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in VERB_SCHEMA.split(", ")]
     for b in batches:
         out = []
         for form in b.column(0).to_pylist():
-            for i, (score, s) in enumerate(t.parse(form) if form else ()):
+            for i, (score, s) in enumerate(t.parse(form, top) if form else ()):
                 get = lambda k, s=s: s.get(k, (None, None))
                 out.append((form, i + 1, score, get("NEG")[0], *get("SM"), *get("TAM"), *get("OM"), *get("ROOT"), *get("EXT"), *get("FV")))
         if out:
@@ -242,10 +245,10 @@ def _verbs(batches: Iterable[pa.RecordBatch], t: VerbTables) -> Iterator[pa.Reco
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
 
-def verb_parses(forms: DataFrame, tables: VerbTables) -> DataFrame:
-    """All hypotheses of each form (a one-column table ``form``); those of rank 1 under ``ACCEPT_VERB`` aren't verbs."""
+def verb_parses(forms: DataFrame, tables: VerbTables, top: int = TOP) -> DataFrame:
+    """The ``top`` best hypotheses of each form (a one-column table ``form``); those of rank 1 under ``ACCEPT_VERB`` aren't verbs."""
     ship(forms.sparkSession)
-    return forms.select("form").mapInArrow(lambda it: _verbs(it, tables), VERB_SCHEMA)
+    return forms.select("form").mapInArrow(lambda it: _verbs(it, tables, top), VERB_SCHEMA)
 
 
 ANALYSIS = "score double, neg string, sm string, sm_class string, tam string, tam_id string, om string, om_class string, root string, gloss string, ext string, ext_id string, fv string, fv_id string, nc string, nc_prefix string, stem string, nc_score double, known boolean"
@@ -298,12 +301,12 @@ def analysed_tokens(tokens: DataFrame, verbs: VerbTables, nouns: NounTables) ->
 
 
 def spans(parse: DataFrame) -> DataFrame:
-    """Each morpheme of each hypothesis with half-open offsets: ``form, hyp, slot, morph, start, stop``."""
-    parts = F.array(*(F.struct(F.lit(s).alias("slot"), F.col(s.lower()).alias("morph")) for s in SLOTS))
-    own = F.filter(parts, lambda p: F.length(p["morph"]) > 0)
-    long = parse.select("form", "hyp", F.posexplode(own).alias("i", "p")).select("form", "hyp", "i", "p.*")
-    stop = F.sum(F.length("morph")).over(Window.partitionBy("form", "hyp").orderBy("i"))
-    return long.select("form", "hyp", "slot", "morph", (stop - F.length("morph")).cast("int").alias("start"), stop.cast("int").alias("stop"))
+    """Each morpheme of each hypothesis with half-open offsets: ``form, hyp, slot, morph, start, stop``. A row's own columns have all that is needed, so there is no exchange."""
+    morphs = [F.col(s.lower()) for s in SLOTS]
+    size = [F.coalesce(F.length(m), F.lit(0)) for m in morphs]
+    stops = [reduce(lambda a, b: a + b, size[: i + 1]) for i in range(len(SLOTS))]
+    parts = F.array(*(F.when(n > 0, F.struct(F.lit(s).alias("slot"), m.alias("morph"), (stop - n).alias("start"), stop.alias("stop"))) for s, m, n, stop in zip(SLOTS, morphs, size, stops)))
+    return parse.select("form", "hyp", F.inline(F.array_compact(parts)))
 
 
 # phonology

@@ -161,7 +161,7 @@ _PARTS = ", ".join(f"{{'i': {i}, 'slot': {Q(x)}, 'morph': {x.lower()}}}" for i,
 
 @query(f"SELECT form, hyp, slot, morph, (stop - length(morph))::INT AS start, stop FROM (SELECT form, hyp, p.slot AS slot, p.morph AS morph, (sum(length(p.morph)) OVER (PARTITION BY form ORDER BY p.i))::INT AS stop FROM (SELECT form, hyp, unnest([{_PARTS}]) AS p FROM {_VERBS} WHERE hyp = 1) WHERE length(p.morph) > 0)")
 def verb_morpheme_spans(spark, sf_dir):
-    return M.spans(verb_parse_topk(spark, sf_dir).filter("hyp = 1"))
+    return M.spans(M.verb_parses(forms(spark, sf_dir), tables()[0], top=1))
 
 
 @query()
