@@ -52,11 +52,16 @@ def strip(c: Column) -> Column:
 SLICE = 1 << 20
 
 
+def slices(texts: pa.Array, most: int) -> list[tuple[int, int]]:
+    """First and last place of slices of ``texts`` that hold ``most`` bytes and one text at most."""
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())))
+    cuts = [0, *(np.flatnonzero(np.diff(size // most)) + 1).tolist(), len(texts)]
+    return [(a, z) for a, z in zip(cuts, cuts[1:]) if z > a]
+
+
 def in_slices(part, texts: pa.Array) -> pa.Array:
     """``part`` of ``texts`` slice by slice, so that Python never holds more than ``SLICE`` bytes of them and one text as objects, however large the batch."""
-    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())))
-    cuts = [0, *(np.flatnonzero(np.diff(size // SLICE)) + 1).tolist(), len(texts)]
-    found = [part(texts.slice(a, z - a)) for a, z in zip(cuts, cuts[1:]) if z > a]
+    found = [part(texts.slice(a, z - a)) for a, z in slices(texts, SLICE)]
     return pa.concat_arrays(found) if found else part(texts)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .cleaning import DOT, in_slices, once, protect, strip, unicode
+from .cleaning import DOT, in_slices, once, protect, slices, strip, unicode
 from .profiles import Profile
 
 CUT, LEAST, MOST = "\u0001", 3, 1000
@@ -101,27 +101,31 @@ def _chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(own)), np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(np.searchsorted(starts, rows)))
 
 
-#: Bytes of counted chunks that a task holds before it gives them on.
-HELD = 24 << 20
+#: Bytes of text that are cut into chunks at once, and of counted chunks that a task holds before it gives them on.
+PART, HELD = 2 << 20, 16 << 20
+
+
+def _counted_part(b: pa.RecordBatch, names: list[str]) -> pa.Table:
+    *keys, texts = b.columns
+    chunks, rows = _chunks(texts)
+    own, codes = names[:-1], [k.dictionary_encode() for k in keys]
+    found = pa.table([*(c.indices.take(pa.array(rows)) for c in codes), chunks], names=own).group_by(own, use_threads=False).aggregate([([], "count_all")])
+    return pa.table([*(pa.chunked_array([c.dictionary]).take(found[k]) for c, k in zip(codes, own)), found["chunk"], found["count_all"]], names=names)
 
 
 def _counted_chunks(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     *own, n = names
-    held = None
+    merged = lambda held: pa.concat_tables(held).group_by(own, use_threads=False).aggregate([(n, "sum")]).rename_columns(names)
+    held: list[pa.Table] = []
     for b in batches:
-        if not b.num_rows:
-            continue
-        *keys, texts = b.columns
-        chunks, rows = _chunks(texts)
-        codes = [k.dictionary_encode() for k in keys]
-        found = pa.table([*(c.indices.take(pa.array(rows)) for c in codes), chunks], names=own).group_by(own, use_threads=False).aggregate([([], "count_all")])
-        found = pa.table([*(pa.chunked_array([c.dictionary]).take(found[k]) for c, k in zip(codes, own)), found["chunk"], found["count_all"]], names=names)
-        held = found if held is None else pa.concat_tables([held, found]).group_by(own, use_threads=False).aggregate([(n, "sum")]).rename_columns(names)
-        if held.nbytes > HELD:
-            yield from held.to_batches()
-            held = None
-    if held is not None:
-        yield from held.to_batches()
+        for a, z in slices(b.columns[-1], PART):
+            held.append(_counted_part(b.slice(a, z - a), names))
+            if sum(t.nbytes for t in held) > HELD:
+                held = [merged(held)]
+                if held[0].nbytes > HELD // 2:
+                    yield from held.pop().to_batches()
+    if held:
+        yield from merged(held).to_batches()
 
 
 def chunk_counts(docs: DataFrame, text: str, *keys: str) -> DataFrame:
